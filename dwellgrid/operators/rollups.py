@@ -97,7 +97,7 @@ def daily_metrics(hourly: DataFrame, weighted_dwell: bool = False) -> DataFrame:
         F.sum("unique_visitors").alias("unique_visitors"),
         F.sum("staff_count").alias("staff_count"),
         F.sum("conversions").alias("conversions"),
-        F.coalesce(dwell, F.lit(0.0)).alias("avg_dwell_seconds"),
+        F.round(F.coalesce(dwell, F.lit(0.0)), 4).alias("avg_dwell_seconds"),
         F.max("max_queue_depth").alias("max_queue_depth"),
         F.sum("abandonment_count").alias("abandonment_count"),
         F.sum("reentry_count").alias("reentry_count"),

@@ -4,6 +4,8 @@ from importlib import import_module
 
 AREAS = (
     "funnel_queries",
+    "quality_queries",
+    "report_queries",
 )
 
 

@@ -72,7 +72,7 @@ hourly AS (
 DAILY = f"""daily AS (
   SELECT store_id, event_date, CAST(sum(unique_visitors) AS BIGINT) AS unique_visitors,
     CAST(sum(staff_count) AS BIGINT) AS staff_count, CAST(sum(conversions) AS BIGINT) AS conversions,
-    {xsum('avg_dwell_seconds', 6)} / count(*) AS avg_dwell_seconds, max(max_queue_depth) AS max_queue_depth,
+    {rnd(xsum('avg_dwell_seconds', 6) + ' / count(*)', 4)} AS avg_dwell_seconds, max(max_queue_depth) AS max_queue_depth,
     CAST(sum(abandonment_count) AS BIGINT) AS abandonment_count,
     CAST(sum(reentry_count) AS BIGINT) AS reentry_count, {xsum('total_revenue')} AS total_revenue,
     CAST(arg_max(hour(hour_bucket), unique_visitors * 100 - hour(hour_bucket)) AS INTEGER) AS peak_hour,
