@@ -126,5 +126,12 @@ class OrderedRows:
         base = joined.withColumn("_p", packed).withColumn("_s", F.coalesce(shift("_p").over(w), F.col("_c")))
         return self._with(base.select(*keep, *[F.col(f"_s.{new}").alias(new) for new in columns]))
 
+    def where(self, condition: Column) -> "OrderedRows":
+        return self._with(self.df.where(condition))
+
+    def with_column(self, name: str, value: Column) -> "OrderedRows":
+        """Adds a plain row expression."""
+        return self._with(self.df.withColumn(name, value))
+
     def result(self) -> DataFrame:
         return self.df.drop(CHUNK)

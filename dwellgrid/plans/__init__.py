@@ -6,6 +6,7 @@ AREAS = (
     "funnel_queries",
     "quality_queries",
     "report_queries",
+    "movement_queries",
 )
 
 
