@@ -28,31 +28,56 @@ def foot_y(box: Column) -> Column:
     return box["y2"]
 
 
-def _edges(polygon: Column) -> Column:
-    """Pairs (vertex, next vertex), closing the ring."""
+def polygon_edges(polygon: Column) -> Column:
+    """Edges of the closed ring with their direction and squared length; empty below three vertices."""
     following = F.concat(F.slice(polygon, F.lit(2), F.size(polygon)), F.slice(polygon, 1, 1))
-    return F.arrays_zip(polygon.alias("a"), following.alias("b"))
 
+    def edge(a: Column, b: Column) -> Column:
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        return F.struct(
+            a[0].alias("ax"), a[1].alias("ay"), b[1].alias("by"), dx.alias("dx"), dy.alias("dy"),
+            F.when(dx * dx + dy * dy > 0, dx * dx + dy * dy).otherwise(1.0).alias("len2"),
+            F.when(dy != 0, dx / F.when(dy != 0, dy)).otherwise(0.0).alias("slope"),
+        )
 
-def _crosses(x: Column, y: Column, e: Column) -> Column:
-    ax, ay, bx, by = e["a"][0], e["a"][1], e["b"][0], e["b"][1]
-    slope_x = F.when(ay != by, (bx - ax) * (y - ay) / F.when(ay != by, by - ay) + ax)
-    return F.coalesce(((ay > y) != (by > y)) & (x < slope_x), F.lit(False))
+    edges = F.zip_with(polygon, following, edge)
+    return F.when(F.size(polygon) >= 3, edges).otherwise(F.slice(edges, 1, 0))
 
 
-def _edge_distance(x: Column, y: Column, e: Column) -> Column:
-    ax, ay, bx, by = e["a"][0], e["a"][1], e["b"][0], e["b"][1]
-    dx, dy = bx - ax, by - ay
-    length2 = dx * dx + dy * dy
-    t = F.when(length2 > 0, ((x - ax) * dx + (y - ay) * dy) / F.when(length2 > 0, length2)).otherwise(0.0)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    px, py = x - (ax + t * dx), y - (ay + t * dy)
-    return F.sqrt(px * px + py * py)
+def polygon_bounds(polygon: Column) -> Column:
+    """Bounding box, wide enough for the edge tolerance."""
+    xs, ys = F.transform(polygon, lambda v: v[0]), F.transform(polygon, lambda v: v[1])
+    t = EDGE_TOLERANCE
+    return F.struct(
+        (F.array_min(xs) - t).alias("x1"), (F.array_min(ys) - t).alias("y1"),
+        (F.array_max(xs) + t).alias("x2"), (F.array_max(ys) + t).alias("y2"),
+    )
 
 
-def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
+def in_bounds(x: Column, y: Column, box: Column) -> Column:
+    return (x >= box["x1"]) & (x <= box["x2"]) & (y >= box["y1"]) & (y <= box["y2"])
+
+
+def _offset(x: Column, y: Column, e: Column) -> Column:
+    """Point relative to the edge's start, and where along the edge (0..1) the nearest point lies."""
+    along = ((x - e["ax"]) * e["dx"] + (y - e["ay"]) * e["dy"]) / e["len2"]
+    return F.struct(
+        (x - e["ax"]).alias("px"), (y - e["ay"]).alias("py"), e["dx"].alias("dx"), e["dy"].alias("dy"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)).alias("t"),
+    )
+
+
+def inside_edges(x: Column, y: Column, edges: Column) -> Column:
     """Even-odd test; points closer than one pixel to an edge count as inside."""
-    edges = _edges(polygon)
-    odd = F.size(F.filter(edges, lambda e: _crosses(x, y, e))) % 2 == 1
-    near = F.exists(edges, lambda e: _edge_distance(x, y, e) < EDGE_TOLERANCE)
-    return (F.size(polygon) >= 3) & (odd | near)
+    crossed = F.filter(
+        edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < e["slope"] * (y - e["ay"]) + e["ax"])
+    )
+    near = F.exists(
+        F.transform(edges, lambda e: _offset(x, y, e)),
+        lambda o: F.hypot(o["px"] - o["t"] * o["dx"], o["py"] - o["t"] * o["dy"]) < EDGE_TOLERANCE,
+    )
+    return (F.size(crossed) % 2 == 1) | near
+
+
+def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
+    return inside_edges(x, y, polygon_edges(polygon))

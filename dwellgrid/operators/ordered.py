@@ -91,17 +91,21 @@ class OrderedRows:
         local = F.last(value, ignorenulls=True).over(frame)
         if not self.chunked:
             return self._with(self.df.withColumn(name, local))
-        ends = (
-            self.df.where(value.isNotNull()).groupBy(*self._groups)
-            .agg(F.max_by(value, F.struct(*self.order)).alias("_t"))
+        ends = self.df.groupBy(*self._groups).agg(
+            F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order))).alias("_t")
         )
-        every = self.df.groupBy(*self._groups).agg(F.count("*").alias("_n"))
-        on = [every[k].eqNullSafe(ends[k]) for k in self._groups]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        per_chunk = every.join(ends, cond, "left").select(*[every[k] for k in self._groups], ends["_t"])
-        joined = self._carry(per_chunk, "_c", F.last("_t", ignorenulls=True))
+        joined = self._carry(ends, "_c", F.last("_t", ignorenulls=True))
+        return self._with(joined.withColumn(name, F.coalesce(local, "_c")).drop("_c"))
+
+    def next_value(self, name: str, value: Column) -> "OrderedRows":
+        """First non-null value at or after the row."""
+        local = F.first(value, ignorenulls=True).over(self._window().rowsBetween(0, Window.unboundedFollowing))
+        if not self.chunked:
+            return self._with(self.df.withColumn(name, local))
+        starts = self.df.groupBy(*self._groups).agg(
+            F.min_by(value, F.when(value.isNotNull(), F.struct(*self.order))).alias("_t")
+        )
+        joined = self._carry(starts, "_c", F.first("_t", ignorenulls=True), forward=False)
         return self._with(joined.withColumn(name, F.coalesce(local, "_c")).drop("_c"))
 
     def lag(self, columns: dict[str, str]) -> "OrderedRows":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellgrid.config import DetectionConfig
-from dwellgrid.functions.geometry import box_iou, foot_x, foot_y, in_polygon
+from dwellgrid.functions.geometry import box_iou, foot_x, foot_y, in_bounds, inside_edges, polygon_bounds, polygon_edges
 from dwellgrid.functions.scoring import exact_avg
 from dwellgrid.operators.matching import priority_match
 from dwellgrid.operators.ordered import OrderedRows
@@ -22,19 +22,20 @@ def with_foot_point(detections: DataFrame) -> DataFrame:
 
 def floor_plans(zones: DataFrame) -> DataFrame:
     """One row per store with its zones, highest priority first (a floor plan is a small list)."""
-    item = F.struct((-F.col("priority")).alias("p"), "zone_ord", "zone_id", "zone_type", "polygon")
+    item = F.struct(
+        (-F.col("priority")).alias("p"), "zone_ord", "zone_id", "zone_type",
+        polygon_bounds(F.col("polygon")).alias("bounds"), polygon_edges(F.col("polygon")).alias("edges"),
+    )
     return zones.groupBy("store_id").agg(F.sort_array(F.collect_list(item)).alias("plan"))
 
 
 def zone_assign(detections: DataFrame, zones: DataFrame) -> DataFrame:
     """First zone by priority that holds the foot point; null when none does. One row in, one row out."""
     placed = with_foot_point(detections).join(broadcast_if_small(floor_plans(zones)), "store_id", "left")
-    hits = F.filter("plan", lambda z: in_polygon(F.col("foot_x"), F.col("foot_y"), z["polygon"]))
-    first = F.try_element_at(hits, F.lit(1))
-    return placed.withColumn("_hit", first).select(
-        *detections.columns, "foot_x", "foot_y", F.col("_hit.zone_id").alias("zone_id"),
-        F.col("_hit.zone_type").alias("zone_type"),
-    )
+    x, y = F.col("foot_x"), F.col("foot_y")
+    close = F.filter("plan", lambda z: in_bounds(x, y, z["bounds"]))
+    hit = F.try_element_at(F.filter(close, lambda z: inside_edges(x, y, z["edges"])), F.lit(1))
+    return placed.select(*detections.columns, "foot_x", "foot_y", hit["zone_id"].alias("zone_id"))
 
 
 def zones_of_type(zones: DataFrame, *types: str) -> DataFrame:

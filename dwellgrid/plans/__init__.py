@@ -7,6 +7,7 @@ AREAS = (
     "quality_queries",
     "report_queries",
     "movement_queries",
+    "pos_queries",
 )
 
 
