@@ -27,7 +27,12 @@ class OrderedRows:
         self.df, self.keys, self.order, self.chunked = df, list(keys), list(order), chunked
 
     @classmethod
-    def of(cls, df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> "OrderedRows":
+    def of(
+        cls, df: DataFrame, keys: Sequence[str], order: Sequence[str], inside: "OrderedRows | None" = None
+    ) -> "OrderedRows":
+        """Measures the groups; ``inside`` names measured rows whose groups contain these groups."""
+        if inside is not None and not inside.chunked:
+            return cls(df, keys, order)
         limit = int_setting(df.sparkSession, MAX_GROUP_ROWS_CONF, DEFAULT_MAX_GROUP_ROWS)
         sizes = (
             df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -43,22 +48,24 @@ class OrderedRows:
     def _groups(self) -> list[str]:
         return self.keys + ([CHUNK] if self.chunked else [])
 
-    def _window(self):
-        return Window.partitionBy(*self._groups).orderBy(*self.order)
+    def _window(self, forward: bool = True):
+        """Rows in order; backward windows sort descending, as frames to the end cost quadratic time."""
+        turn = F.asc if forward else F.desc
+        return Window.partitionBy(*self._groups).orderBy(*[turn(c) for c in self.order])
 
     def _with(self, df: DataFrame) -> "OrderedRows":
         return OrderedRows(df, self.keys, self.order, self.chunked)
 
     def _carry(self, per_chunk: DataFrame, name: str, value: Column, forward: bool = True) -> DataFrame:
         """Join ``name``: ``value`` over the chunks of the key before (or after) the current one."""
-        frame = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-        w = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(*frame)
-        carry = per_chunk.select(*self.keys, CHUNK, value.over(w).alias(name))
-        on = [self.df[k].eqNullSafe(carry[k]) for k in self._groups]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        return self.df.join(carry, cond, "left").select(*[self.df[c] for c in self.df.columns], carry[name])
+        step = F.asc(CHUNK) if forward else F.desc(CHUNK)
+        w = Window.partitionBy(*self.keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(self._groups)]
+        carry = per_chunk.select(*renamed, value.over(w).alias(name))
+        cond = F.lit(True)
+        for i, k in enumerate(self._groups):
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return self.df.join(carry, cond, "left").select(*self.df.columns, name)
 
     def running_sum(self, name: str, value: Column) -> "OrderedRows":
         """Inclusive running total."""
@@ -99,13 +106,14 @@ class OrderedRows:
 
     def next_value(self, name: str, value: Column) -> "OrderedRows":
         """First non-null value at or after the row."""
-        local = F.first(value, ignorenulls=True).over(self._window().rowsBetween(0, Window.unboundedFollowing))
+        back = self._window(forward=False).rowsBetween(Window.unboundedPreceding, 0)
+        local = F.last(value, ignorenulls=True).over(back)
         if not self.chunked:
             return self._with(self.df.withColumn(name, local))
         starts = self.df.groupBy(*self._groups).agg(
             F.min_by(value, F.when(value.isNotNull(), F.struct(*self.order))).alias("_t")
         )
-        joined = self._carry(starts, "_c", F.first("_t", ignorenulls=True), forward=False)
+        joined = self._carry(starts, "_c", F.last("_t", ignorenulls=True), forward=False)
         return self._with(joined.withColumn(name, F.coalesce(local, "_c")).drop("_c"))
 
     def lag(self, columns: dict[str, str]) -> "OrderedRows":
@@ -125,8 +133,7 @@ class OrderedRows:
             return self._with(self.df.select(*keep, *[shift(src).over(w).alias(new) for new, src in columns.items()]))
         pick = F.max_by if forward else F.min_by
         edge = self.df.groupBy(*self._groups).agg(pick(packed, F.struct(*self.order)).alias("_t"))
-        value = F.last("_t") if forward else F.first("_t")
-        joined = self._carry(edge, "_c", value, forward)
+        joined = self._carry(edge, "_c", F.last("_t"), forward)
         base = joined.withColumn("_p", packed).withColumn("_s", F.coalesce(shift("_p").over(w), F.col("_c")))
         return self._with(base.select(*keep, *[F.col(f"_s.{new}").alias(new) for new in columns]))
 

@@ -124,26 +124,29 @@ def match_sessions(transactions: DataFrame, sessions: DataFrame) -> DataFrame:
     order = ["us", "kind", "id"]
     begins = sessions.select("store_id", F.col("start_us").alias("us"), F.lit(0).alias("kind"), F.col("session_id").alias("id"), "end_us")
     sales = _tx(transactions).select("store_id", "us", F.lit(1).alias("kind"), F.col("tx_id").alias("id"), F.lit(None).cast("long").alias("end_us"))
-    left, links = begins.unionByName(sales), None
+    left, links = cut_lineage(begins.unionByName(sales)), None
+    measured = None
     while True:
         is_tx = F.col("kind") == 1
-        useful = OrderedRows.of(left, ["store_id"], order).next_value("next_tx", F.when(is_tx, F.col("us"))).where(
+        rows = OrderedRows.of(left, ["store_id"], order, inside=measured)
+        measured = measured or rows
+        useful = rows.next_value("next_tx", F.when(is_tx, F.col("us"))).where(
             is_tx | (F.col("next_tx") <= F.coalesce(F.col("end_us"), F.col("next_tx")))
         )
         deep = useful.running_sum("after", F.when(is_tx, -1).otherwise(1)).result()
         level = F.when(is_tx, F.col("after") + 1).otherwise(F.col("after"))
         paired = (
-            OrderedRows.of(deep.withColumn("level", level).drop("after", "next_tx"), ["store_id", "level"], order)
+            OrderedRows.of(deep.withColumn("level", level).drop("after", "next_tx"), ["store_id", "level"], order, inside=measured)
             .lag({"s_id": "id", "s_end": "end_us", "s_kind": "kind"}).result()
         )
         mate = is_tx & (F.col("s_kind") == 0)
         broken = F.coalesce(mate & (F.col("us") > F.col("s_end")), F.lit(False))
         counted = (
-            OrderedRows.of(paired.withColumn("mate", mate).withColumn("broken", broken), ["store_id"], order)
+            OrderedRows.of(paired.withColumn("mate", mate).withColumn("broken", broken), ["store_id"], order, inside=measured)
             .running_sum("bad", F.col("broken").cast("int")).result()
         )
         state = cut_lineage(
-            OrderedRows.of(counted, ["store_id", "level"], order).lag({"s_bad": "bad"}).result()
+            OrderedRows.of(counted, ["store_id", "level"], order, inside=measured).lag({"s_bad": "bad"}).result()
             .withColumn("inner_bad", F.col("bad") - F.col("s_bad") - F.col("broken").cast("int"))
         )
         good = F.col("mate") & ~F.col("broken") & (F.col("inner_bad") == 0)

@@ -54,9 +54,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike a local one."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Rows written once to the shared folder and read back: a lost executor never loses them.
+
+    Unlike a checkpoint this computes the plan once, and later reads fetch only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame) -> bool:
