@@ -8,6 +8,7 @@ AREAS = (
     "report_queries",
     "movement_queries",
     "pos_queries",
+    "identity_queries",
 )
 
 
