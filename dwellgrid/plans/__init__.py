@@ -9,6 +9,7 @@ AREAS = (
     "movement_queries",
     "pos_queries",
     "identity_queries",
+    "anomaly_queries",
 )
 
 
