@@ -10,6 +10,8 @@ AREAS = (
     "pos_queries",
     "identity_queries",
     "anomaly_queries",
+    "source_queries",
+    "insight_queries",
 )
 
 
