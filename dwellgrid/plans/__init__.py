@@ -12,6 +12,7 @@ AREAS = (
     "anomaly_queries",
     "source_queries",
     "insight_queries",
+    "stream_queries",
 )
 
 

@@ -17,7 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return bind_events(table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream (a glob, as a plain path must be a folder)."""
+    schema = table(spark, sf_dir, "events").schema
+    return bind_events(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+def bind_events(table_rows: DataFrame) -> DataFrame:
+    raw = table_rows.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     user, k, kind = F.col("user_id"), F.col("k"), F.col("event_type")
     store = F.format_string("STORE_%03d", user % 4)
     visitor = F.format_string("VIS_%06d", user)
@@ -61,8 +71,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where(F.col("event_type") == "PURCHASE")
-    return e.select(
+    return purchases_as_transactions(events(spark, sf_dir))
+
+
+def purchases_as_transactions(bound: DataFrame) -> DataFrame:
+    return bound.where(F.col("event_type") == "PURCHASE").select(
         F.col("event_id").alias("tx_id"), "store_id", F.col("value").alias("amount"), "ts",
         F.format_string("POS_%02d", F.col("k") % 3 + 1).alias("pos_terminal_id"),
     )
@@ -91,7 +104,11 @@ def zones(spark: SparkSession, sf_dir: str, layout: bool = False) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is a sighting on a time-lapse camera feed with one frame per hour."""
-    return events(spark, sf_dir).select(
+    return as_detections(events(spark, sf_dir))
+
+
+def as_detections(bound: DataFrame) -> DataFrame:
+    return bound.select(
         "store_id", "camera_id", F.floor(F.unix_seconds("ts") / 3600).alias("frame_idx"), "ts",
         F.col("user_id").alias("track_id"), F.col("event_id").alias("detection_id"), "bbox", "confidence", "visitor_id",
     )
