@@ -39,7 +39,7 @@ def candidate_counts(transactions: DataFrame, sessions: DataFrame) -> DataFrame:
     )
     sales = _tx(transactions).select("store_id", "us", F.lit(1).alias("kind"), F.col("tx_id").alias("id"), F.lit(0).alias("delta"))
     moves = begins.unionByName(ends).unionByName(sales)
-    swept = OrderedRows.of(moves, ["store_id"], ["us", "kind", "id"]).running_sum("live", F.col("delta")).result()
+    swept = OrderedRows.of(cut_lineage(moves), ["store_id"], ["us", "kind", "id"]).running_sum("live", F.col("delta")).result()
     return swept.where(F.col("kind") == 1).select(
         F.col("id").alias("tx_id"), "store_id", F.col("live").cast("long").alias("n_candidates")
     )
@@ -69,10 +69,10 @@ def first_session(transactions: DataFrame, sessions: DataFrame, cfg: PosConfig =
     bucket, or covers the whole bucket, or is still open from an earlier bucket.
     """
     width = cfg.window_seconds * 1_000_000
-    ses = sessions.select(
+    ses = cut_lineage(sessions.select(
         "*", F.floor(F.col("start_us") / width).alias("b0"), F.floor(F.col("end_us") / width).alias("b1")
-    )
-    tx = _tx(transactions).withColumn("bucket", F.floor(F.col("us") / width))
+    ))
+    tx = cut_lineage(_tx(transactions).withColumn("bucket", F.floor(F.col("us") / width)).withColumn("rev", -F.col("us")))
     keys = ["store_id", "bucket"]
     none = F.lit(None).cast("struct<start_us:bigint,session_id:string>")
 
@@ -81,7 +81,6 @@ def first_session(transactions: DataFrame, sessions: DataFrame, cfg: PosConfig =
         swept = OrderedRows.of(rows.unionByName(sales), keys, ["at", "kind", "id"]).running_max(out, F.col("cand")).result()
         return swept.where(F.col("kind") == 1).select(F.col("id").alias("tx_id"), out)
 
-    tx = tx.withColumn("rev", -F.col("us"))
     began = sweep(ses.select("store_id", F.col("b0").alias("bucket"), F.col("start_us").alias("at"), F.lit(0).alias("kind"), F.col("session_id").alias("id"), _latest().alias("cand")), "began")
     ending = sweep(
         ses.where(F.col("end_us").isNotNull())
@@ -196,7 +195,8 @@ def asof_session(transactions: DataFrame, sessions: DataFrame, cfg: PosConfig =
     none = F.lit(None).cast("struct<start_us:bigint,session_id:string>")
     begins = sessions.select("store_id", F.col("start_us").alias("us"), F.lit(0).alias("kind"), F.col("session_id").alias("id"), _latest().alias("s"))
     sales = _tx(transactions).select("store_id", "us", F.lit(1).alias("kind"), F.col("tx_id").alias("id"), none.alias("s"))
-    swept = OrderedRows.of(begins.unionByName(sales), ["store_id"], ["us", "kind", "id"]).last_value("last", F.col("s")).result()
+    moves = cut_lineage(begins.unionByName(sales))
+    swept = OrderedRows.of(moves, ["store_id"], ["us", "kind", "id"]).last_value("last", F.col("s")).result()
     lag = (F.col("us") - F.col("last.start_us")) / 1e6
     return swept.where(F.col("kind") == 1).select(
         F.col("id").alias("tx_id"), "store_id", F.col("last.session_id").alias("session_id"),

@@ -47,22 +47,22 @@ def rec(body: str, *ctes: str) -> str:
     return with_ctes(body, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def scored(spark, sf):
-    return anomaly.scored_signals(d.hourly_table(spark, sf))
+def scored(spark, sf, hourly=None):
+    return anomaly.scored_signals(d.hourly_table(spark, sf) if hourly is None else hourly)
 
 
-def found(spark, sf):
-    return anomaly.alerts(scored(spark, sf))
+def found(spark, sf, hourly=None):
+    return anomaly.alerts(scored(spark, sf, hourly))
 
 
 def dead(spark, sf, as_of):
     return anomaly.dead_zones(b.zones(spark, sf), b.events(spark, sf), as_of)
 
 
-def anomaly_table(spark, sf):
+def anomaly_table(spark, sf, hourly=None):
     """All alerts of the data; those older than a week count as resolved."""
     as_of = d.latest(spark, sf)
-    both = anomaly.suppress_repeats(found(spark, sf)).unionByName(anomaly.dead_zone_alerts(dead(spark, sf, as_of), as_of))
+    both = anomaly.suppress_repeats(found(spark, sf, hourly)).unionByName(anomaly.dead_zone_alerts(dead(spark, sf, as_of), as_of))
     return both.withColumn("is_resolved", F.col("detected_at") < as_of - F.expr("interval 7 days"))
 
 
@@ -156,7 +156,8 @@ CTX = """hl1 AS (SELECT store_id, arg_max(conversions, hour_bucket) AS c, arg_ma
 @query("anomaly_context", rec("""SELECT anomaly_id, store_id, anomaly_type, CASE WHEN v > 0 THEN CAST(c AS DOUBLE) / v END AS conversion_rate
   FROM an LEFT JOIN hl1 USING (store_id)""", *ANOM, CTX))
 def _(spark, sf):
-    return anomaly.with_store_context(anomaly_table(spark, sf), d.hourly_table(spark, sf)).select(
+    hourly = d.stored_hourly(spark, sf)
+    return anomaly.with_store_context(anomaly_table(spark, sf, hourly), hourly).select(
         "anomaly_id", "store_id", "anomaly_type", "conversion_rate")
 
 

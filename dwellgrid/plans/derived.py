@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dwellgrid.operators import rollups, sessions
 from dwellgrid.plans import binding
 from dwellgrid.plans.binding import EV, TX, rnd, uuid5_sql, xsum
+from dwellgrid.session import cut_lineage
 
 
 def latest(spark: SparkSession, sf_dir: str) -> Column:
@@ -27,6 +28,11 @@ def hourly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup as a written table, for reports that read it several times."""
+    return cut_lineage(hourly_table(spark, sf_dir))
+
+
 def daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.daily_metrics(hourly_table(spark, sf_dir))
 

@@ -116,7 +116,7 @@ ab AS (SELECT store_id, event_date, count(DISTINCT visitor_id) AS abandonment_co
   FROM jt j LEFT JOIN daily dl USING (store_id, event_date) LEFT JOIN ab USING (store_id, event_date)
   LEFT JOIN hl USING (store_id, event_date)""", EV, TX, SESS, HOURLY, DAILY, STAGES, HLIST))
 def _(spark, sf):
-    ev, hourly, as_of = b.events(spark, sf), d.hourly_table(spark, sf), d.latest(spark, sf)
+    ev, hourly, as_of = b.events(spark, sf), d.stored_hourly(spark, sf), d.latest(spark, sf)
     live = rollups.live_supplementary(d.session_table(spark, sf), b.transactions(spark, sf), as_of)
     out = rollups.store_metrics(ev, rollups.daily_metrics(hourly), live, hourly)
     text = F.transform("hourly_breakdown", lambda h: F.concat_ws(

@@ -58,10 +58,10 @@ def _(spark, sf):
 
 
 def bundled(spark, sf):
-    hourly = d.hourly_table(spark, sf)
+    hourly = d.stored_hourly(spark, sf)
     return evidence.bundle(
         evidence.evidence_daily(rollups.daily_metrics(hourly)), evidence.evidence_hourly(hourly),
-        evidence.evidence_anomalies(anomaly_table(spark, sf)), evidence.evidence_funnel(b.events(spark, sf)))
+        evidence.evidence_anomalies(anomaly_table(spark, sf, hourly)), evidence.evidence_funnel(b.events(spark, sf)))
 
 
 @query("data_coverage", rec("SELECT store_id, event_date, data_coverage, data_coverage = 0 AS insufficient FROM cov", *FULL))
@@ -151,8 +151,8 @@ def _(spark, sf):
         F.array_join("recommended_actions", "|").alias("recommended_actions"), "priority_level")
 
 
-@query("priority_normalise", with_ctes("""SELECT o_orderkey, CASE WHEN upper(substr(o_orderpriority, 3)) IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL')
-  THEN upper(substr(o_orderpriority, 3)) ELSE 'MEDIUM' END AS priority FROM orders""", "one AS (SELECT 1)"))
+@query("priority_normalise", """SELECT o_orderkey, CASE WHEN upper(substr(o_orderpriority, 3)) IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL')
+  THEN upper(substr(o_orderpriority, 3)) ELSE 'MEDIUM' END AS priority FROM orders""")
 def _(spark, sf):
     orders = b.table(spark, sf, "orders")
     return orders.select("o_orderkey", evidence.normalise_priority(F.substring("o_orderpriority", 3, 100)).alias("priority"))

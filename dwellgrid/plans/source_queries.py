@@ -11,7 +11,7 @@ from dwellgrid.plans.derived import DAILY, HOURLY, SESS
 from dwellgrid.plans.funnel_queries import ZLIST
 from dwellgrid.plans.quality_queries import REPLAY, replayed
 from dwellgrid.plans.registry import query
-from dwellgrid.session import scratch_path
+from dwellgrid.session import cut_lineage, scratch_path
 from dwellgrid.sources import readers, writers
 
 DERIVED_ID = uuid5_sql("store_id || '|' || visitor_id || '|' || event_type || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00|' || camera_id")
@@ -123,7 +123,7 @@ RECENT = "(SELECT max(ts) FROM ev) - INTERVAL 7 DAY"
   CASE WHEN (store_id, hour_bucket) IN (SELECT store_id, date_trunc('hour', ts) FROM ev WHERE ts >= {RECENT}) THEN conversions ELSE 0 END AS conversions
   FROM hourly""", EV, TX, SESS, HOURLY))
 def _(spark, sf):
-    now = d.hourly_table(spark, sf).select("store_id", "hour_bucket", "unique_visitors", "conversions")
+    now = d.stored_hourly(spark, sf).select("store_id", "hour_bucket", "unique_visitors", "conversions")
     stored = now.withColumn("conversions", F.lit(0).cast("long"))
     batch = b.events(spark, sf).where(F.col("ts") >= d.latest(spark, sf) - F.expr("interval 7 days"))
     touched = rollups.affected_buckets(batch).select("store_id", "hour_bucket")
@@ -135,7 +135,7 @@ def _(spark, sf):
   FROM daily""", EV, TX, SESS, HOURLY, DAILY))
 def _(spark, sf):
     path, keys = scratch_path(spark, "daily"), ["store_id", "event_date"]
-    now = d.daily_table(spark, sf).select(*keys, "unique_visitors", "conversions")
+    now = cut_lineage(d.daily_table(spark, sf).select(*keys, "unique_visitors", "conversions"))
     writers.overwrite_partitions(now.withColumn("conversions", F.lit(0).cast("long")), path, "event_date")
     batch = b.events(spark, sf).where(F.col("ts") >= d.latest(spark, sf) - F.expr("interval 7 days"))
     days = rollups.affected_buckets(batch).select(*keys).distinct()
