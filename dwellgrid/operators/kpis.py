@@ -57,7 +57,8 @@ def billing_stats(events: DataFrame) -> DataFrame:
 
 def reid_stats_day(events: DataFrame) -> DataFrame:
     """Visitors seen by more than one camera, match rate and fragmented remainder."""
-    per_visitor = events.groupBy(*DAY, "visitor_id").agg((F.min("camera_id") != F.max("camera_id")).alias("multi"))
+    seen = events.select(*DAY, "visitor_id", "camera_id").distinct()
+    per_visitor = seen.groupBy(*DAY, "visitor_id").agg((F.count("camera_id") > 1).alias("multi"))
     out = per_visitor.groupBy(*DAY).agg(
         F.count("*").alias("total_visitors"), F.count_if("multi").alias("cross_camera_matches")
     )
@@ -73,16 +74,58 @@ def avg_confidence(events: DataFrame) -> DataFrame:
 
 
 def event_stream_report(events: DataFrame) -> DataFrame:
-    """Entrance, zone, billing and identity blocks nested in one row per store and day."""
-    parts = {
-        "entrance": entrance_stats(events), "zone": zone_stats(events), "billing": billing_stats(events),
-        "reid": reid_stats_day(events).join(avg_confidence(events), DAY, "left"),
+    """Entrance, zone, billing and identity blocks nested in one row per store and day.
+
+    One scan: counts per visitor and camera are folded per visitor and then per day, so distinct
+    visitors and cameras need no row expansion."""
+    kinds = {
+        "ENTRY": "entry", "EXIT": "exit", "REENTRY": "reentry", "ZONE_ENTER": "zone_enter", "ZONE_EXIT": "zone_exit",
+        "ZONE_DWELL": "zone_dwell", "BILLING_QUEUE_JOIN": "queue_join", "BILLING_QUEUE_ABANDON": "queue_abandon",
+        "PURCHASE": "purchase",
     }
-    out = None
-    for name, part in parts.items():
-        nested = part.select(*DAY, F.struct(*[c for c in part.columns if c not in DAY]).alias(name))
-        out = nested if out is None else out.join(nested, DAY, "left")
-    return out
+    dwell = F.when(F.col("event_type") == "ZONE_DWELL", dwell_seconds_of(F.col("metadata_json"))).cast("decimal(20,4)")
+    conf = F.col("confidence").cast("decimal(20,4)")
+    sums = [*kinds.values(), "dwell_sum", "dwell_n", "conf_sum", "conf_n"]
+    per_camera = events.groupBy(*DAY, "visitor_id", "camera_id").agg(
+        *[_count(k).alias(v) for k, v in kinds.items()],
+        F.sum(dwell).alias("dwell_sum"), F.count(dwell).alias("dwell_n"), F.sum(conf).alias("conf_sum"), F.count(conf).alias("conf_n"),
+    )
+    per_visitor = per_camera.groupBy(*DAY, "visitor_id").agg(
+        *[F.sum(c).alias(c) for c in sums], (F.count("camera_id") > 1).alias("multi")
+    )
+    per_day = per_visitor.groupBy(*DAY).agg(
+        *[F.sum(c).alias(c) for c in sums], F.count("*").alias("total"), F.count_if("multi").alias("matched"),
+        *[F.count_if(F.col(c) > 0).alias("v_" + c) for c in ("queue_join", "queue_abandon", "purchase")],
+    )
+
+    def mean(part: str) -> Column:
+        return F.col(part + "_sum").cast("double") / F.nullif(F.col(part + "_n"), F.lit(0))
+
+    inside = F.col("entry") + F.col("reentry") - F.col("exit")
+    joins = F.col("v_queue_join")
+    return per_day.select(
+        *DAY,
+        F.struct(
+            F.col("entry").alias("entry_count"), F.col("exit").alias("exit_count"), F.col("reentry").alias("reentry_count"),
+            F.greatest(F.lit(0).cast("long"), inside).alias("current_occupancy"),
+        ).alias("entrance"),
+        F.struct(
+            F.col("zone_enter").alias("zone_enter_count"), F.col("zone_exit").alias("zone_exit_count"),
+            F.col("zone_dwell").alias("zone_dwell_count"), F.coalesce(mean("dwell"), F.lit(0.0)).alias("avg_dwell_seconds"),
+        ).alias("zone"),
+        F.struct(
+            joins.alias("queue_join_count"), F.col("v_queue_abandon").alias("queue_abandon_count"),
+            F.col("v_purchase").alias("purchase_count"),
+            _percent(F.col("v_queue_abandon"), joins).alias("queue_abandon_rate"),
+            _percent(F.col("v_purchase"), joins).alias("billing_conversion_rate"),
+        ).alias("billing"),
+        F.struct(
+            F.col("total").alias("total_visitors"), F.col("matched").alias("cross_camera_matches"),
+            _percent(F.col("matched"), F.col("total")).alias("match_rate"),
+            (F.col("total") - F.col("matched")).alias("fragmented_visitors"),
+            F.round(F.coalesce(mean("conf"), F.lit(DEFAULT_CONFIDENCE)) * 100, 1).alias("avg_confidence"),
+        ).alias("reid"),
+    )
 
 
 def occupancy_timeline(events: DataFrame) -> DataFrame:
