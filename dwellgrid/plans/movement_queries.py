@@ -49,9 +49,29 @@ def _(spark, sf):
     return spatial.consecutive_iou(b.detections(spark, sf)).select("detection_id", F.round("iou", 6).alias("iou"))
 
 
-@query("frame_iou_match")
-def _(spark, sf):
-    return spatial.frame_iou_match(b.detections(spark, sf))
+GREEDY = """dt AS MATERIALIZED (SELECT store_id, camera_id, epoch_us(ts) // 3600000000 AS fr, event_id, x1, y1, confidence FROM ev),
+opt AS MATERIALIZED (SELECT * FROM (SELECT store_id, camera_id, fr, event_id, prev_id, i / (40000 - i) AS iou, confidence FROM (
+  SELECT d.store_id, d.camera_id, d.fr, d.event_id, d.confidence, p.event_id AS prev_id,
+    greatest(0, 100 - abs(d.x1 - p.x1)) * greatest(0, 200 - abs(d.y1 - p.y1)) AS i FROM dt d JOIN dt p
+    ON p.store_id = d.store_id AND p.camera_id = d.camera_id AND p.fr = d.fr - 1))
+  WHERE iou >= 0.3),
+ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id, fr ORDER BY confidence < 0.6, confidence DESC, event_id) AS n
+  FROM (SELECT DISTINCT store_id, camera_id, fr, event_id, confidence FROM opt)),
+gm AS (SELECT store_id, camera_id, fr, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS event_id,
+    CAST(NULL AS VARCHAR) AS prev_id, CAST(NULL AS DOUBLE) AS iou FROM (SELECT DISTINCT store_id, camera_id, fr FROM ord)
+  UNION ALL SELECT store_id, camera_id, fr, n + 1, CASE WHEN prev_id IS NULL THEN taken ELSE list_append(taken, prev_id) END, event_id, prev_id, iou FROM (
+    SELECT g.store_id, g.camera_id, g.fr, g.n, any_value(g.taken) AS taken, any_value(d.event_id) AS event_id,
+      arg_min(o.prev_id, (-o.iou, o.prev_id)) FILTER (NOT list_contains(g.taken, o.prev_id)) AS prev_id,
+      max(o.iou) FILTER (NOT list_contains(g.taken, o.prev_id)) AS iou
+    FROM gm g JOIN ord d ON d.store_id = g.store_id AND d.camera_id = g.camera_id AND d.fr = g.fr AND d.n = g.n + 1
+    JOIN opt o ON o.store_id = d.store_id AND o.camera_id = d.camera_id AND o.fr = d.fr AND o.event_id = d.event_id
+    GROUP BY g.store_id, g.camera_id, g.fr, g.n))"""
+
+
+@query("frame_iou_match", with_ctes(f"SELECT event_id AS detection_id, prev_id, {rnd('iou', 6)} AS iou FROM gm WHERE prev_id IS NOT NULL", EV, GREEDY).replace("WITH ", "WITH RECURSIVE ", 1))
+def _(spark, sf):
+    out = spatial.frame_iou_match(b.detections(spark, sf))
+    return out.withColumn("iou", F.round("iou", 6))
 
 
 @query("predict_position", with_ctes("""SELECT detection_id, coalesce(x1 + (x1 - px1), x1) AS x1, coalesce(y1 + (y1 - py1), y1) AS y1,
