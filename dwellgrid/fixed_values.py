@@ -145,5 +145,56 @@ STAGE_RECOMMENDATIONS = {
     "PURCHASE": "Pre-stage bags and remove upsell prompts during peak hours.",
 }
 
+# Rule-based answers; names in braces are filled from the evidence.
+ANSWER_LEAD = "Rule-Based Fallback: "
+CONCLUSIONS = {
+    "alerts": "Operational issues are present today: {types}. Immediate inspection of affected zones is recommended.",
+    "no_alerts": "No anomalies have been detected today. Operational parameters are running within normal historical limits.",
+    "sales_alert": (
+        "The conversion rate is {rate}% with {sales} purchases. "
+        "A critical issue is present in the checkout funnel: {sales_alert} alert is active."
+    ),
+    "abandonment": (
+        "Today's conversion rate is {rate}%. "
+        "High queue abandonment ({abandoned} checkouts abandoned) is a primary bottleneck."
+    ),
+    "smooth": (
+        "Today's conversion rate is {rate}%. "
+        "There are {sales} conversions from {visitors} visitors, with checkout operations running smoothly."
+    ),
+    "traffic": (
+        "Foot traffic today stands at {visitors} unique visitors, with an average dwell time of {dwell} minutes. "
+        "Traffic peaked at hour {peak_or_na}."
+    ),
+    "general": (
+        "Store is currently operating with {visitors} unique visitors, {rate}% conversion rate, "
+        "and {n_alerts} active anomalies."
+    ),
+}
+OBSERVATIONS = {
+    "alerts": "Detected {n_alerts} active operational anomalies in the database.",
+    "alert_line": "Anomaly {rank}: {type} ({severity}) of {metric} vs baseline {baseline} (z-score: {z}).",
+    "no_alerts": "No active operational anomalies are currently logged in the database.",
+    "conversion": (
+        "The store conversion rate today is {rate}%.",
+        "Completed purchases: {sales} transactions out of {visitors} unique customer visits.",
+        "Billing queue checkout abandonments: {abandoned} events.",
+    ),
+    "sales_alert": "There is an active alert: {sales_alert} with severity {sales_severity}.",
+    "traffic": ("Total unique visitors today: {visitors}.", "Average customer dwell time: {dwell} minutes."),
+    "peak": "Traffic peaked during hour {peak}:00.",
+    "general": (
+        "Store has {visitors} unique visitors with {sales} conversions ({rate}% conversion rate).",
+        "Average dwell time: {dwell} minutes; max queue depth: {queue} customers.",
+        "Active alerts count: {n_alerts}.",
+    ),
+}
+
+# Trend and title texts of alerts.
+TREND_TEXT = "Current value is {delta}% {direction} the 7-day same-hour average (z-score {z})."
+TITLE_INACTIVE = "Zone inactive for {minutes} min{zone}"
+TITLE_PLAIN = "{label} detected"
+TITLE_SCORED = "{label} detected (z = {z}, {percent}% confidence)"
+
 # UUID namespace OID used for deterministic ids.
 NAMESPACE_OID_HEX = "6ba7b8129dad11d180b400c04fd430c8"

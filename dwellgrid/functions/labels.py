@@ -1,6 +1,7 @@
 """Display labels and lookups from fixed values."""
 
 from collections.abc import Mapping
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,17 @@ def lookup(key: Column, table: Mapping[str, object]) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def fill(template: str, values: Mapping[str, Column]) -> Column:
+    """Text with the named placeholders replaced by columns."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name:
+            parts.append(values[name])
+    return F.concat(*parts)
+
+
 def title_case(code: Column) -> Column:
     return F.initcap(F.replace(code, F.lit("_"), F.lit(" ")))
 

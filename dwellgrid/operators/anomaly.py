@@ -10,16 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellgrid.config import AnomalyConfig
-from dwellgrid.fixed_values import RECOMMENDED_ACTIONS
+from dwellgrid.fixed_values import RECOMMENDED_ACTIONS, TITLE_INACTIVE, TITLE_PLAIN, TITLE_SCORED, TREND_TEXT
 from dwellgrid.functions.hashing import uuid5
-from dwellgrid.functions.labels import lookup, severity_class
+from dwellgrid.functions.labels import fill, lookup, severity_class
 from dwellgrid.functions.scoring import anomaly_confidence, seconds_between, severity, zscore
 
 SIGNALS = (("QUEUE_SPIKE", "max_queue_depth", 1), ("CONVERSION_DROP", "conversion", -1), ("TRAFFIC_DROP", "unique_visitors", -1))
-FIELDS = [
-    "anomaly_id", "store_id", "detected_at", "anomaly_type", "severity", "confidence", "metric_value", "baseline_value",
-    "z_score", "affected_zone_id", "recommended_action",
-]
 
 
 def current_hour_rows(hourly: DataFrame, as_of: Column) -> DataFrame:
@@ -173,10 +169,10 @@ def trend_percent(metric: Column, baseline: Column) -> Column:
 def trend_summary(anomalies: DataFrame) -> DataFrame:
     delta = trend_percent(F.col("metric_value"), F.col("baseline_value"))
     way = F.when(delta > 0, "above").otherwise("below")
-    text = F.format_string(
-        "Current value is %.0f%% %s the 7-day same-hour average (z-score %.2f).",
-        F.round(F.abs(delta), 0), way, F.round("z_score", 2),
-    )
+    text = fill(TREND_TEXT, {
+        "delta": F.format_string("%.0f", F.round(F.abs(delta), 0)), "direction": way,
+        "z": F.format_string("%.2f", F.round("z_score", 2)),
+    })
     return anomalies.withColumn("delta_pct", F.round(delta, 4)).withColumn("direction", way).withColumn("trend_summary", text)
 
 
@@ -191,11 +187,12 @@ def counts_by_zone(anomalies: DataFrame) -> DataFrame:
 def anomaly_title() -> Column:
     label = F.replace(F.col("anomaly_type"), F.lit("_"), F.lit(" "))
     zone = F.when(F.col("affected_zone_id").isNotNull(), F.concat(F.lit(" · "), "affected_zone_id")).otherwise("")
-    dead = F.concat(F.lit("Zone inactive for "), F.format_string("%.0f", F.round("metric_value", 0)), F.lit(" min"), zone)
-    scored = F.format_string(
-        "%s detected (z = %.1f, %.0f%% confidence)", label, F.round("z_score", 1), F.round(F.col("confidence") * 100, 0)
-    )
+    parts = {
+        "label": label, "zone": zone, "minutes": F.format_string("%.0f", F.round("metric_value", 0)),
+        "z": F.format_string("%.1f", F.round("z_score", 1)),
+        "percent": F.format_string("%.0f", F.round(F.col("confidence") * 100, 0)),
+    }
     return (
-        F.when(F.col("anomaly_type") == "DEAD_ZONE", dead)
-        .when(F.col("z_score") == 0, F.concat(label, F.lit(" detected"))).otherwise(scored)
+        F.when(F.col("anomaly_type") == "DEAD_ZONE", fill(TITLE_INACTIVE, parts))
+        .when(F.col("z_score") == 0, fill(TITLE_PLAIN, parts)).otherwise(fill(TITLE_SCORED, parts))
     )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellgrid.fixed_values import DEFAULT_EXPLANATION, EXPLANATIONS, PRIORITIES, QUESTION_KEYWORDS
-from dwellgrid.functions.labels import title_case
+from dwellgrid.fixed_values import (
+    ANSWER_LEAD, CONCLUSIONS, DEFAULT_EXPLANATION, EXPLANATIONS, OBSERVATIONS, PRIORITIES, QUESTION_KEYWORDS,
+)
+from dwellgrid.functions.labels import fill, title_case
 from dwellgrid.operators.funnel import DAY, not_staff
 
 ANSWER_CONFIDENCE = 0.85
@@ -101,69 +103,47 @@ def rule_answers(questions: DataFrame, bundled: DataFrame) -> DataFrame:
     def text(c: Column) -> Column:
         return c.cast("string")
 
-    visitors, sales = text(metric("unique_visitors", 0)), text(metric("conversions", 0))
-    rate, dwell = text(metric("conversion_rate_pct", 0.0)), text(metric("avg_dwell_minutes", 0.0))
-    queue, left_queue = text(metric("max_queue_depth", 0)), metric("abandonment_count", 0)
-    peak = F.col("daily_metrics.peak_hour")
-    peak_text = F.when(F.coalesce(peak, F.lit(0)) == 0, "N/A").otherwise(text(peak))
     alerts = F.coalesce("active_anomalies", F.array().cast(bundled.schema["active_anomalies"].dataType))
-    n_alerts = text(F.size(alerts))
-    types = F.array_join(F.transform(alerts, lambda a: a["anomaly_type"]), ", ")
     sales_alert = F.try_element_at(
         F.filter(alerts, lambda a: a["anomaly_type"].contains("QUEUE") | a["anomaly_type"].contains("CONVERSION")), F.lit(1)
     )
-    lead = "Rule-Based Fallback: "
-
-    def join(*parts) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
+    abandoned, peak = metric("abandonment_count", 0), F.col("daily_metrics.peak_hour")
+    known = {
+        "visitors": text(metric("unique_visitors", 0)), "sales": text(metric("conversions", 0)),
+        "rate": text(metric("conversion_rate_pct", 0.0)), "dwell": text(metric("avg_dwell_minutes", 0.0)),
+        "queue": text(metric("max_queue_depth", 0)), "abandoned": text(abandoned), "n_alerts": text(F.size(alerts)),
+        "types": F.array_join(F.transform(alerts, lambda a: a["anomaly_type"]), ", "), "peak": text(peak),
+        "peak_or_na": F.when(F.coalesce(peak, F.lit(0)) == 0, "N/A").otherwise(text(peak)),
+        "sales_alert": sales_alert["anomaly_type"], "sales_severity": sales_alert["severity"],
+    }
+    has_alerts, has_sales_alert = F.size(alerts) > 0, sales_alert.isNotNull()
+
+    def told(name: str) -> Column:
+        return fill(ANSWER_LEAD + CONCLUSIONS[name], known)
+
+    def noted(name: str) -> list[Column]:
+        lines = OBSERVATIONS[name]
+        return [fill(line, known) for line in ((lines,) if isinstance(lines, str) else lines)]
+
+    def alert_line(a: Column) -> Column:
+        return fill(OBSERVATIONS["alert_line"], {
+            "rank": text(a["rank"]), "type": title_case(F.lower(a["anomaly_type"])), "severity": a["severity"],
+            "metric": text(a["metric_value"]), "baseline": text(a["baseline_value"]), "z": text(a["z_score"]),
+        })
+
+    intent = F.col("intent")
     conclusion = (
-        F.when(F.col("intent") == "anomaly", F.when(
-            F.size(alerts) > 0,
-            join(lead, "Operational issues are present today: ", types, ". Immediate inspection of affected zones is recommended."),
-        ).otherwise(lead + "No anomalies have been detected today. Operational parameters are running within normal historical limits."))
-        .when(F.col("intent") == "conversion", F.when(
-            sales_alert.isNotNull(),
-            join(lead, "The conversion rate is ", rate, "% with ", sales, " purchases. A critical issue is present in the checkout funnel: ",
-                 sales_alert["anomaly_type"], " alert is active."),
-        ).when(
-            left_queue > ABANDON_ALERT,
-            join(lead, "Today's conversion rate is ", rate, "%. High queue abandonment (", text(left_queue),
-                 " checkouts abandoned) is a primary bottleneck."),
-        ).otherwise(
-            join(lead, "Today's conversion rate is ", rate, "%. There are ", sales, " conversions from ", visitors,
-                 " visitors, with checkout operations running smoothly."),
-        ))
-        .when(F.col("intent") == "traffic", join(
-            lead, "Foot traffic today stands at ", visitors, " unique visitors, with an average dwell time of ", dwell,
-            " minutes. Traffic peaked at hour ", peak_text, "."))
-        .otherwise(join(
-            lead, "Store is currently operating with ", visitors, " unique visitors, ", rate, "% conversion rate, and ", n_alerts,
-            " active anomalies."))
+        F.when((intent == "anomaly") & has_alerts, told("alerts")).when(intent == "anomaly", told("no_alerts"))
+        .when((intent == "conversion") & has_sales_alert, told("sales_alert"))
+        .when((intent == "conversion") & (abandoned > ABANDON_ALERT), told("abandonment"))
+        .when(intent == "conversion", told("smooth")).when(intent == "traffic", told("traffic")).otherwise(told("general"))
     )
-    alert_lines = F.transform(alerts, lambda a: F.concat(
-        F.lit("Anomaly "), text(a["rank"]), F.lit(": "), title_case(F.lower(a["anomaly_type"])), F.lit(" ("), a["severity"],
-        F.lit(") of "), text(a["metric_value"]), F.lit(" vs baseline "), text(a["baseline_value"]), F.lit(" (z-score: "),
-        text(a["z_score"]), F.lit(").")))
     observations = (
-        F.when(F.col("intent") == "anomaly", F.when(F.size(alerts) > 0, F.concat(
-            F.array(join("Detected ", n_alerts, " active operational anomalies in the database.")), alert_lines,
-        )).otherwise(F.array(F.lit("No active operational anomalies are currently logged in the database."))))
-        .when(F.col("intent") == "conversion", F.array_compact(F.array(
-            join("The store conversion rate today is ", rate, "%."),
-            join("Completed purchases: ", sales, " transactions out of ", visitors, " unique customer visits."),
-            join("Billing queue checkout abandonments: ", text(left_queue), " events."),
-            F.when(sales_alert.isNotNull(), join("There is an active alert: ", sales_alert["anomaly_type"], " with severity ", sales_alert["severity"], ".")),
-        )))
-        .when(F.col("intent") == "traffic", F.array_compact(F.array(
-            join("Total unique visitors today: ", visitors, "."), join("Average customer dwell time: ", dwell, " minutes."),
-            F.when(peak.isNotNull(), join("Traffic peaked during hour ", text(peak), ":00.")),
-        )))
-        .otherwise(F.array(
-            join("Store has ", visitors, " unique visitors with ", sales, " conversions (", rate, "% conversion rate)."),
-            join("Average dwell time: ", dwell, " minutes; max queue depth: ", queue, " customers."),
-            join("Active alerts count: ", n_alerts, "."),
-        ))
+        F.when((intent == "anomaly") & has_alerts, F.concat(F.array(*noted("alerts")), F.transform(alerts, alert_line)))
+        .when(intent == "anomaly", F.array(*noted("no_alerts")))
+        .when(intent == "conversion", F.array_compact(F.array(*noted("conversion"), *noted("sales_alert"))))
+        .when(intent == "traffic", F.array_compact(F.array(*noted("traffic"), *noted("peak"))))
+        .otherwise(F.array(*noted("general")))
     )
     return q.select(
         *questions.columns, F.coalesce("data_coverage", F.lit(0)).alias("data_coverage"),
