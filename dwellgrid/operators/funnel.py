@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.fixed_values import FUNNEL_STAGES
@@ -122,11 +122,8 @@ def store_day_spine(stores: DataFrame, first_day: Column, last_day: Column) -> D
 
 def summary_counts(events: DataFrame, dwell_seconds: Column) -> DataFrame:
     """Distinct customer sessions per stage, average dwell and purchases per queue join as text."""
-    def sessions(*types: str) -> Column:
-        return F.sum(_one(*types)).cast("long")
-
-    def _one(*types: str) -> Column:
-        return F.col("f_" + types[0])
+    def sessions(kind: str) -> Column:
+        return F.sum("f_" + kind).cast("long")
 
     kinds = ["ENTRY", "ZONE_DWELL", "PURCHASE", "BILLING_QUEUE_JOIN"]
     dwell = F.when(F.col("event_type") == "ZONE_DWELL", dwell_seconds).cast("decimal(20,4)")
@@ -140,9 +137,3 @@ def summary_counts(events: DataFrame, dwell_seconds: Column) -> DataFrame:
     )
     pct = F.format_string("%.1f%%", F.round(F.col("purchases") / F.col("billing_joins") * 100, 1))
     return out.withColumn("conversion_rate", F.when(F.col("billing_joins") > 0, pct).otherwise("0%"))
-
-
-def ordered_stage_changes(stages: DataFrame) -> DataFrame:
-    """Stage counts next to the previous stage of the same store and day (four rows per group)."""
-    w = Window.partitionBy(*DAY).orderBy("stage_order")
-    return stages.withColumn("prev_count", F.lag("count").over(w))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.operators import rollups, sessions
 from dwellgrid.plans import binding
-from dwellgrid.plans.binding import EV, TX, rnd, uuid5_sql, xsum
+from dwellgrid.plans.binding import rnd, xsum
 from dwellgrid.session import cut_lineage
 
 
@@ -115,6 +115,3 @@ FSTAGES = f"""fs AS (
       ELSE CASE WHEN billing_queue_count > 0 THEN {rnd('CAST(purchases_count AS DOUBLE) / billing_queue_count', 4)} ELSE 0 END
       END AS rate
   FROM jt, (VALUES (0, 'ENTRY'), (1, 'ZONE_ENGAGEMENT'), (2, 'BILLING_ZONE_REACHED'), (3, 'CONVERTED')) s(stage_order, stage))"""
-
-BASE = (EV, TX, SESS, HOURLY)
-__all__ = ["BASE", "DAILY", "EV", "FSTAGES", "HOURLY", "HOURLY_PARTS", "SESS", "STAGES", "TX", "uuid5_sql"]
