@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, sharding, topk, url_filter
+from dwellgrid.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, secret_scan, sharding, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spans(kind: str, place: int, pattern: str, flags: str, least: str) -> str:
+    """Oracle part: spans of one kind from the pieces between its matches."""
+    return f"""
+      SELECT doc_id, '{kind}' AS kind, {place} AS place, hit, start, start + length(hit) AS stop FROM (
+        SELECT doc_id, hits[i] AS hit,
+          (list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0))::BIGINT AS start
+        FROM (
+          SELECT doc_id, gaps, hits, unnest(generate_series(1, len(hits))) AS i FROM (
+            SELECT doc_id, regexp_split_to_array(text, '{flags}{pattern}') AS gaps,
+              regexp_extract_all(text, '{flags}{pattern}') AS hits
+            FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '{flags}{pattern}')
+          )
+        )
+      ) WHERE {least}
+    """
+
+
+ASSIGN_HEAD = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?"
+
+
+@query(
+    "op1_secret_scan",
+    f"""
+    WITH spans AS (
+      {_spans("assign", 0, ASSIGN_HEAD + "[A-Za-z0-9+/_.=-]+", "",
+              f"length(hit) - length(regexp_extract(hit, '^{ASSIGN_HEAD}')) >= 6")}
+      UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "", "length(hit) >= 20")}
+      UNION ALL {_spans("hex", 2, "[0-9a-f]+", "", "length(hit) >= 24")}
+    ), found AS (
+      SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans
+      FROM spans GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+      sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents d LEFT JOIN found USING (doc_id)
+    """,
+)
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 @query(
     "op2_topk",
     r"""
