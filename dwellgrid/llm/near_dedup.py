@@ -17,8 +17,10 @@ is the connected components of these links.
    threshold go.
 5. Verify: the rest is decided on the full sets, and links become components by alternating large and small stars.
 6. What is left: only pairs of one bucket that are in different components can still matter. They are compared block
-   against block on their sketches, estimated and verified likewise, and the components are closed again. No list of
-   all pairs of a bucket ever exists, and there is no cap on buckets, partners or candidates.
+   against block on finer sketches of ``FINE`` registers (one byte each), which only nodes that share a bucket get. Pairs
+   that agree too rarely for the threshold by ``FINE_SIGMAS`` standard deviations go, a pair that meets in several bands
+   is taken in the first, and the rest is verified; then the components are closed again. No list of all pairs of a
+   bucket ever exists, and there is no cap on buckets, partners or candidates.
 
 Defined results: null, empty and wordless texts have an empty set and stand alone under their own id; a component's id
 is its smallest id, null last (null if all are null); rows that repeat an id share its component.
@@ -26,14 +28,15 @@ is its smallest id, null last (null if all are null); rows that repeat an id sha
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.text import SPACES, WordHasher, mix64, slices, text_bytes
+from dwellgrid.llm.text import WordHasher, mix64, slices, text_bytes
 from dwellgrid.session import cut_lineage
 
 SHINGLE = 5
@@ -44,6 +47,8 @@ BASE = 1.02
 RATE = 20.0
 TOP = (1 << 16) - 1
 SURELY_LOWER = 0.5
+FINE = 1024
+FINE_SIGMAS = 4.5
 BLOCK = 512
 BROADCAST_NODES = 500_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -138,18 +143,32 @@ def likely(greater: np.ndarray, smaller: np.ndarray, equal: np.ndarray, n_a: np.
     return allowed & (logarithm(SURELY_LOWER + 1e-4) >= logarithm(SURELY_LOWER))
 
 
+def may_reach(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """True where so many equal fine registers leave the threshold possible, given both set sizes."""
+    j = THRESHOLD / 100
+    a, b = n_a / (n_a + n_b), n_b / (n_a + n_b)
+    more, less = (-np.log1p(-np.maximum(x, 0) * (BASE - 1) / BASE) / np.log(BASE) for x in (a - b * j, b - a * j))
+    p = np.clip(1 - more - less, 0, 1)
+    allowed = np.minimum(n_a, n_b) * 100 >= THRESHOLD * np.maximum(n_a, n_b)
+    return allowed & (equal >= FINE * p - FINE_SIGMAS * np.sqrt(FINE * p * (1 - p)) - 1)
+
+
 # -- Spark steps ------------------------------------------------------------------------------------------------------
 
 
-def word_sequence(text: Column) -> Column:
-    """Digest of the word sequence; null when there is no word."""
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    joined = F.trim(F.regexp_replace(lowered, SPACES + "+", " "))
-    return F.when(F.length(joined) > 0, F.unhex(F.md5(joined)))
+def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, raw, text): the hash of the raw text finds a row's text again in a later scan."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("raw"), F.col(text_col).alias("text"))
+
+
+def sequence_digests(texts: list[bytes]) -> list[bytes | None]:
+    """Digest of each word sequence, None without words."""
+    joined = (b" ".join(t.lower().split()) for t in texts)
+    return [hashlib.md5(j, usedforsecurity=False).digest() if j else None for j in joined]
 
 
 def sketch_documents(rows: DataFrame) -> DataFrame:
-    """(id, node, n, sketch, keys) from (id, node, text)."""
+    """(id, raw, node, n, sketch, keys) from (id, raw, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,13 +179,13 @@ def sketch_documents(rows: DataFrame) -> DataFrame:
                 keys = band_keys(found)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[part.start:part.stop], batch.column(1)[part.start:part.stop],
-                     pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in found], pa.binary()),
-                     pa.array(list(keys), pa.list_(pa.int64()))],
-                    ["id", "node", "n", "sketch", "keys"],
+                     pa.array(sequence_digests(texts[part]), pa.binary()), pa.array(sizes, pa.int64()),
+                     pa.array([r.tobytes() for r in found], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
+                    ["id", "raw", "node", "n", "sketch", "keys"],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, node binary, n long, sketch binary, keys array<long>")
+    return rows.mapInArrow(run, f"id {kind}, raw long, node binary, n long, sketch binary, keys array<long>")
 
 
 def estimate_pairs(pairs: DataFrame) -> DataFrame:
@@ -232,7 +251,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) within buckets but across components, from (key, node, root, n, sketch).
+    """Candidate pairs (a, b) within buckets but across components, from (key, node, root, n, fine, keys).
 
     A bucket's nodes are dealt into blocks; each task compares two blocks on their sketches, so neither a whole bucket
     nor its list of pairs is ever held.
@@ -244,25 +263,24 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = dealt.withColumn("other", F.explode(others)).select(
         "key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "root",
-        "n", "sketch",
+        "n", "fine", "keys",
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        block = table.column("block").to_numpy()
-        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-        nodes, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
-        n = table.column("n").to_numpy().astype(float)
-        registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(n), -1)
-        label = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+        bucket, one, two = (table.column(c)[0].as_py() for c in ("key", "one", "two"))
+        block, n = table.column("block").to_numpy(), table.column("n").to_numpy().astype(float)
+        nodes = table.column("node").to_pylist()
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(len(n), -1)
+        keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(len(n), -1)
+        band = int(np.argmax((keys == bucket).all(axis=0)))
+        label = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)[1]
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         out_a, out_b = [], []
         for i in left:
             them = right[(label[right] != label[i]) & ((right > i) if one == two else True)]
-            if not len(them):
-                continue
-            more, less = (registers[i] > registers[them]).sum(axis=1), (registers[i] < registers[them]).sum(axis=1)
-            keep = likely(more, less, registers.shape[1] - more - less, np.full(len(them), n[i]), n[them])
-            for j in them[keep]:
+            them = them[~(keys[them, :band] == keys[i, :band]).any(axis=1)]  # the others met in an earlier band
+            them = them[may_reach((fine[them] == fine[i]).sum(axis=1), np.full(len(them), n[i]), n[them])]
+            for j in them:
                 low, high = sorted((nodes[i], nodes[j]))
                 out_a.append(high)
                 out_b.append(low)
@@ -271,71 +289,84 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "one", "two").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def shingles_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the given nodes from (node, text): one text per node."""
-    small = nodes.count() <= BROADCAST_NODES  # 16 bytes each
-    texts = rows.where("node is not null").join(F.broadcast(nodes) if small else nodes, "node", "left_semi")
+def sets_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles, fine) of the nodes (node, raw) from (raw, text): full sets and fine sketches, one row per node."""
+    places = nodes.select("raw").distinct()
+    small = places.count() <= BROADCAST_NODES  # eight bytes each
+    texts = rows.select("raw", "text").join(F.broadcast(places) if small else places, "raw", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            texts = text_bytes(batch.column(1))
+            texts = text_bytes(batch.column(0))
+            digests = sequence_digests(texts)
+            fresh = []
+            for i, digest in enumerate(digests):
+                if digest is not None and digest not in seen:
+                    seen.add(digest)
+                    fresh.append(i)
+            texts, digests = [texts[i] for i in fresh], [digests[i] for i in fresh]
             for part in slices(texts):
                 hashes, sizes = shingle_sets(texts[part])
-                cuts = np.cumsum(sizes)[:-1]
+                fine = sketches(hashes, sizes, FINE).astype(np.uint8)  # the low byte
+                sets = np.split(hashes, np.cumsum(sizes)[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start:part.stop],
-                     pa.array([h.tobytes() for h in np.split(hashes, cuts)], pa.binary())],
-                    ["node", "shingles"],
+                    [pa.array(digests[part], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary()),
+                     pa.array([r.tobytes() for r in fine], pa.binary())],
+                    ["node", "shingles", "fine"],
                 )
 
-    found = texts.select("node", "text").mapInArrow(run, "node binary, shingles binary")
-    return found.dropDuplicates(["node"])
+    found = texts.select("text").mapInArrow(run, "node binary, shingles binary, fine binary")
+    return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id, kept), one per input row."""
-    rows = docs.select(
-        F.col(id_col).alias("id"), word_sequence(F.col(text_col)).alias("node"), F.col(text_col).alias("text")
+    return decided(docs, id_col, text_col).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept"
     )
+
+
+def decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, raw, node, n, component_id, kept), one per input row."""
+    rows = located(docs, id_col, text_col)
     documents = cut_lineage(sketch_documents(rows))
     nodes = cut_lineage(
-        documents.where("node is not null").groupBy("node")
-        .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+        documents.where("node is not null").groupBy("node").agg(
+            F.min(F.struct("raw", "n", "sketch", "keys")).alias("kept")
+        ).select("node", "kept.*")
     )
     buckets = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    stars = buckets.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    traits = nodes.select("node", "n", "sketch")
+    hubs = cut_lineage(
+        buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    )
+    shared = cut_lineage(buckets.join(hubs, "key").select("key", "node", "hub"))
+    members = cut_lineage(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
+    sets = cut_lineage(sets_of(rows, members))
 
     def with_traits(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            named = traits.select(
+            named = members.select(
                 F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")
             )
             pairs = pairs.join(named, side)
         return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
-    def links_of(candidates: DataFrame) -> DataFrame:
-        wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-        return verify_pairs(candidates, shingles_of(rows.select("node", "text"), wanted))
-
-    links = cut_lineage(links_of(cut_lineage(estimate_pairs(with_traits(stars.distinct())))))
+    stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    links = cut_lineage(verify_pairs(estimate_pairs(with_traits(stars)), sets))
     roots = components(links)
-    members = (
-        buckets.join(hubs.select("key"), "key", "left_semi").join(traits, "node").join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-    )
-    rest = cut_lineage(cross_pairs(members))
+    traits = members.select("node", "n", "keys").join(sets.select("node", "fine"), "node").join(roots, "node", "left")
+    traits = traits.withColumn("root", F.coalesce("root", "node"))
+    rest = cut_lineage(verify_pairs(cross_pairs(shared.select("key", "node").join(traits, "node")), sets))
     if rest.count():
-        links = links.unionByName(links_of(rest))
-        roots = components(links)
+        roots = components(links.unionByName(rest))
     roots = cut_lineage(roots)
-    labelled = documents.select("id", "node", "n").join(roots, "node", "left").withColumn(
+    labelled = documents.select("id", "raw", "node", "n").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
     )
     firsts = labelled.where("root is not null").groupBy("root").agg(F.min("id").alias("first"))
     return labelled.join(firsts, "root", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        "id", "raw", "node", "n",
         F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("first")).alias("component_id"),
         F.when(F.col("root").isNull(), F.lit(True)).otherwise(F.col("id").eqNullSafe(F.col("first"))).alias("kept"),
     )
@@ -343,11 +374,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows without near-duplicates: one row of each component, all wordless rows."""
-    found = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("k_id")).distinct()
+    found = decided(docs, id_col, text_col).where("kept").select(
+        F.col("id").alias("k_id"), F.col("raw").alias("k_raw"), F.col("node").isNull().alias("wordless")
+    ).distinct()
     rows = docs.select(
-        F.col(id_col).alias("id"), word_sequence(F.col(text_col)).alias("node"),
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("raw"),
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
     )
-    stays = rows.join(found, F.col("id").eqNullSafe(F.col("k_id")), "left_semi")
-    once = stays.where("node is not null").dropDuplicates(["id", "node"])
-    return once.unionByName(stays.where("node is null")).select("row.*")
+    stays = rows.join(found, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("raw") == F.col("k_raw")))
+    once = stays.where("not wordless").dropDuplicates(["id", "raw"])
+    return once.select("row.*").unionByName(stays.where("wordless").select("row.*"))
