@@ -26,13 +26,13 @@ def session_key(visitor: Column, store: Column, day: Column, seq: Column) -> Col
 
 
 def semantic_key(visitor: Column, event_type: Column, ts: Column) -> Column:
-    """16 hex digits identifying one visitor, event type and second."""
+    """16 hex digits that label one visitor, event type and second; too short to be a key of their own."""
     second = F.date_format(F.date_trunc("second", ts), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     return F.substring(F.sha2(F.concat_ws(":", visitor, event_type, second), 256), 1, 16)
 
 
 def track_number(raw_id: Column) -> Column:
-    """Trailing digits after the last underscore, else a stable hash below 100000."""
+    """Trailing digits after the last underscore as text without leading zeros, else a stable hash below 100000."""
     tail = F.element_at(F.split(raw_id, "_"), -1)
-    hashed = F.pmod(F.xxhash64(raw_id), F.lit(100000))
-    return F.when(tail.rlike("^[0-9]{1,18}$"), tail.try_cast("long")).otherwise(hashed)
+    hashed = F.pmod(F.xxhash64(raw_id), F.lit(100000)).cast("string")
+    return F.when(tail.rlike("^[0-9]+$"), F.regexp_replace(tail, "^0+(?=.)", "")).otherwise(hashed)

@@ -83,10 +83,13 @@ def anomaly_confidence(z: Column, n: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.least(F.lit(1.0), n / 14) * strength), 3)
 
 
-def exact_sum(value: Column, scale: int = 4) -> Column:
-    """Sum that does not depend on the order of rows: fixed-point inside, double outside."""
-    return F.sum(value.cast(f"decimal(20,{scale})")).cast("double")
+def exact_sum(value: Column) -> Column:
+    """Sum that does not depend on the order of rows: decimals wide enough to keep a double's digits inside, double
+    outside. Where a value or the sum does not fit them, the plain sum of the doubles."""
+    wide = value.try_cast("decimal(38,16)")
+    whole = F.when(F.count(wide) == F.count(value), F.try_sum(wide).cast("double"))
+    return F.coalesce(whole, F.sum(value))
 
 
-def exact_avg(value: Column, scale: int = 4) -> Column:
-    return exact_sum(value, scale) / F.count(value)
+def exact_avg(value: Column) -> Column:
+    return exact_sum(value) / F.count(value)

@@ -126,7 +126,7 @@ def summary_counts(events: DataFrame, dwell_seconds: Column) -> DataFrame:
         return F.sum("f_" + kind).cast("long")
 
     kinds = ["ENTRY", "ZONE_DWELL", "PURCHASE", "BILLING_QUEUE_JOIN"]
-    dwell = F.when(F.col("event_type") == "ZONE_DWELL", dwell_seconds).cast("decimal(20,4)")
+    dwell = F.when(F.col("event_type") == "ZONE_DWELL", dwell_seconds).cast("decimal(38,16)")
     per_session = not_staff(events).groupBy(*DAY, "session_id").agg(
         *[_flag(k).alias("f_" + k) for k in kinds], F.sum(dwell).alias("d_sum"), F.count(dwell).alias("d_n")
     )

@@ -43,7 +43,7 @@ def zone_dwell_fallback(events: DataFrame) -> DataFrame:
     )
     spans = enters.join(leaves, "session_id").where(F.col("leave_ts") > F.col("enter_ts"))
     return spans.groupBy(*ZONE_DAY).agg(
-        exact_avg(seconds_between(F.col("leave_ts"), F.col("enter_ts")), 6).alias("fallback_dwell")
+        exact_avg(seconds_between(F.col("leave_ts"), F.col("enter_ts"))).alias("fallback_dwell")
     )
 
 

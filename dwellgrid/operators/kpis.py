@@ -83,8 +83,8 @@ def event_stream_report(events: DataFrame) -> DataFrame:
         "ZONE_DWELL": "zone_dwell", "BILLING_QUEUE_JOIN": "queue_join", "BILLING_QUEUE_ABANDON": "queue_abandon",
         "PURCHASE": "purchase",
     }
-    dwell = F.when(F.col("event_type") == "ZONE_DWELL", dwell_seconds_of(F.col("metadata_json"))).cast("decimal(20,4)")
-    conf = F.col("confidence").cast("decimal(20,4)")
+    dwell = F.when(F.col("event_type") == "ZONE_DWELL", dwell_seconds_of(F.col("metadata_json"))).cast("decimal(38,16)")
+    conf = F.col("confidence").cast("decimal(38,16)")
     sums = [*kinds.values(), "dwell_sum", "dwell_n", "conf_sum", "conf_n"]
     per_camera = events.groupBy(*DAY, "visitor_id", "camera_id").agg(
         *[_count(k).alias(v) for k, v in kinds.items()],

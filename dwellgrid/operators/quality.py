@@ -77,9 +77,10 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 
 def dedup_semantic(events: DataFrame) -> DataFrame:
-    """Earliest event of each visitor, type and second."""
+    """Earliest event of each visitor, type and second, with the short label of the three."""
     keyed = events.withColumn("dedup_key", semantic_key(F.col("visitor_id"), F.col("event_type"), F.col("ts")))
-    return first_per_key(keyed, ["dedup_key"], ["ts", "event_id"])
+    keyed = keyed.withColumn("_second", F.date_trunc("second", "ts"))
+    return first_per_key(keyed, ["visitor_id", "event_type", "_second"], ["ts", "event_id"]).drop("_second")
 
 
 def dedup_event_id(events: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def hourly_sessions(sessions: DataFrame, as_of: Column, legacy_staff_count: bool
             F.count_if(customer).alias("unique_visitors"),
             F.count_if(staff).alias("staff_count"),
             F.count_if(customer & F.col("is_converted")).alias("conversions"),
-            F.coalesce(exact_avg(F.when(customer, F.col("effective_dwell")), 6), F.lit(0.0)).alias("avg_dwell_seconds"),
+            F.coalesce(exact_avg(F.when(customer, F.col("effective_dwell"))), F.lit(0.0)).alias("avg_dwell_seconds"),
             F.count_if("is_reentry").alias("reentry_count"),
         )
     )
@@ -89,9 +89,9 @@ def daily_metrics(hourly: DataFrame, weighted_dwell: bool = False) -> DataFrame:
     """Day rollup of the hourly rows; average dwell is the plain mean of the hourly means unless weighted."""
     visitors = F.col("unique_visitors")
     if weighted_dwell:
-        dwell = exact_sum(F.col("avg_dwell_seconds") * visitors, 6) / F.nullif(F.sum(visitors), F.lit(0))
+        dwell = exact_sum(F.col("avg_dwell_seconds") * visitors) / F.nullif(F.sum(visitors), F.lit(0))
     else:
-        dwell = exact_avg(F.col("avg_dwell_seconds"), 6)
+        dwell = exact_avg(F.col("avg_dwell_seconds"))
     hour = F.hour("hour_bucket")
     out = hourly.groupBy("store_id", F.to_date("hour_bucket").alias("event_date")).agg(
         F.sum("unique_visitors").alias("unique_visitors"),
@@ -141,7 +141,7 @@ def live_supplementary(sessions: DataFrame, transactions: DataFrame, as_of: Colu
         session_dwell(sessions, as_of).groupBy("store_id", F.to_date("entry_time").alias("event_date"))
         .agg(
             F.count_if("is_staff").alias("staff_count"),
-            F.coalesce(exact_avg(F.when(customer, F.col("effective_dwell")), 6), F.lit(0.0)).alias("avg_dwell_seconds"),
+            F.coalesce(exact_avg(F.when(customer, F.col("effective_dwell"))), F.lit(0.0)).alias("avg_dwell_seconds"),
         )
     )
     revenue = transactions.groupBy("store_id", F.to_date("ts").alias("event_date")).agg(

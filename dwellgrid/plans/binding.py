@@ -129,8 +129,9 @@ def rnd(expr: str, digits: int) -> str:
     return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,16)), {digits}) AS DOUBLE)"
 
 
-def xsum(expr: str, scale: int = 4) -> str:
-    return f"CAST(sum(CAST({expr} AS DECIMAL(20,{scale}))) AS DOUBLE)"
+def xsum(expr: str) -> str:
+    """Exact sum of doubles: their decimal texts are summed, and the sum's text becomes a double."""
+    return f"CAST(CAST(sum(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,16))) AS VARCHAR) AS DOUBLE)"
 
 
 _zone_case = " ".join(f"WHEN {i} THEN '{z}'" for i, z in enumerate(DISPLAY_ZONES))

@@ -12,9 +12,8 @@ from dwellgrid.session import cut_lineage
 
 
 def latest(spark: SparkSession, sf_dir: str) -> Column:
-    """As-of time of a report: the newest event of the data (a single value)."""
-    newest = binding.table(spark, sf_dir, "events").agg(F.max("ts").alias("t")).first()["t"]
-    return F.lit(str(newest)).cast("timestamp")
+    """As-of time of a report: the newest event of the data, a subquery of the plan that uses it."""
+    return binding.table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp")).scalar()
 
 
 def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ newest AS (SELECT max(ts) AS t FROM ev),
 sessd AS (SELECT *, coalesce(dwell_seconds, (epoch_us((SELECT t FROM newest)) - epoch_us(entry_time)) / CAST(1e6 AS DOUBLE))
   AS effective_dwell FROM sess)"""
 
-_avg_eff = f"coalesce({xsum('CASE WHEN NOT is_staff THEN effective_dwell END', 6)} / count(*) FILTER (NOT is_staff), 0)"
+_avg_eff = f"coalesce({xsum('CASE WHEN NOT is_staff THEN effective_dwell END')} / count(*) FILTER (NOT is_staff), 0)"
 
 HOURLY_PARTS = f"""hs AS (
   SELECT store_id, date_trunc('hour', entry_time) AS hour_bucket,
@@ -78,7 +77,7 @@ hourly AS (
 DAILY = f"""daily AS (
   SELECT store_id, event_date, CAST(sum(unique_visitors) AS BIGINT) AS unique_visitors,
     CAST(sum(staff_count) AS BIGINT) AS staff_count, CAST(sum(conversions) AS BIGINT) AS conversions,
-    {rnd(xsum('avg_dwell_seconds', 6) + ' / count(*)', 4)} AS avg_dwell_seconds, max(max_queue_depth) AS max_queue_depth,
+    {rnd(xsum('avg_dwell_seconds') + ' / count(*)', 4)} AS avg_dwell_seconds, max(max_queue_depth) AS max_queue_depth,
     CAST(sum(abandonment_count) AS BIGINT) AS abandonment_count,
     CAST(sum(reentry_count) AS BIGINT) AS reentry_count, {xsum('total_revenue')} AS total_revenue,
     CAST(arg_max(hour(hour_bucket), unique_visitors * 100 - hour(hour_bucket)) AS INTEGER) AS peak_hour,

@@ -194,8 +194,8 @@ def _(spark, sf):
   LEFT JOIN jt USING (store_id, event_date)""", EV, STAGES))
 def _(spark, sf):
     ev = b.events(spark, sf)
-    span = ev.agg(F.min("event_date").alias("a"), F.max("event_date").alias("b")).first()
-    spine = funnel.store_day_spine(b.stores(spark, sf), F.date_sub(F.lit(span["a"]), 1), F.date_add(F.lit(span["b"]), 1))
+    first, last = ev.agg(F.min("event_date")).scalar(), ev.agg(F.max("event_date")).scalar()
+    spine = funnel.store_day_spine(b.stores(spark, sf), F.date_sub(first, 1), F.date_add(last, 1))
     return funnel.zero_fill(totals(spark, sf), spine)
 
 

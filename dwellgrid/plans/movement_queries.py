@@ -206,8 +206,8 @@ def _(spark, sf):
   FROM qi, (SELECT max(join_time) AS t FROM qi) WHERE join_time <= t AND (leave_time IS NULL OR t < leave_time)""", EV, GAPS, QUEUE))
 def _(spark, sf):
     q = intervals(spark, sf)
-    at = b.events(spark, sf).where(F.col("event_type") == "BILLING_QUEUE_JOIN").agg(F.max("ts").alias("t")).first()["t"]
-    return queueing.queue_snapshot(q, F.lit(str(at)).cast("timestamp"), QueueConfig(density_threshold=1))
+    at = b.events(spark, sf).where(F.col("event_type") == "BILLING_QUEUE_JOIN").agg(F.max("ts")).scalar()
+    return queueing.queue_snapshot(q, at, QueueConfig(density_threshold=1))
 
 
 PROFILE = f"""vp AS (SELECT store_id, visitor_id, min(ts) AS first_seen, max(ts) AS last_seen,

@@ -74,7 +74,7 @@ SEMKEY = "substr(sha256(visitor_id || ':' || event_type || ':' || strftime(ts, '
 
 
 @query("dedup_semantic", with_ctes(f"""SELECT dedup_key, event_id, ts FROM (SELECT {SEMKEY} AS dedup_key, event_id, ts,
-  row_number() OVER (PARTITION BY {SEMKEY} ORDER BY ts, event_id) AS rn FROM replay) WHERE rn = 1""", EV, REPLAY))
+  row_number() OVER (PARTITION BY visitor_id, event_type, date_trunc('second', ts) ORDER BY ts, event_id) AS rn FROM replay) WHERE rn = 1""", EV, REPLAY))
 def _(spark, sf):
     ev = replayed(spark, sf).select("event_id", "visitor_id", "event_type", "ts")
     return quality.dedup_semantic(ev).select("dedup_key", "event_id", "ts")
@@ -173,7 +173,7 @@ def _(spark, sf):
     return ev.select("event_id", quality.dwell_ms(rollups.dwell_seconds_of(F.col("metadata_json"))).alias("dwell_ms"))
 
 
-@query("raw_track_number", with_ctes("SELECT event_id, user_id AS track_no, user_id % 4 AS store_no FROM ev", EV))
+@query("raw_track_number", with_ctes("SELECT event_id, CAST(user_id AS VARCHAR) AS track_no, CAST(user_id % 4 AS VARCHAR) AS store_no FROM ev", EV))
 def _(spark, sf):
     return b.events(spark, sf).select(
         "event_id", track_number(F.col("visitor_id")).alias("track_no"), track_number(F.col("store_id")).alias("store_no"))
@@ -183,8 +183,8 @@ def _(spark, sf):
     "SELECT event_id, ts, event_type FROM ev WHERE event_date = (SELECT max(event_date) FROM ev)", EV))
 def _(spark, sf):
     ev = b.events(spark, sf)
-    day = ev.agg(F.max("event_date").alias("d")).first()["d"]
-    return quality.on_utc_day(ev, F.lit(day)).select("event_id", "ts", "event_type")
+    day = ev.agg(F.max("event_date")).scalar()
+    return quality.on_utc_day(ev, day).select("event_id", "ts", "event_type")
 
 
 @query("staff_exclusion", with_ctes("SELECT event_id, visitor_id, event_type FROM ev WHERE NOT is_staff", EV))

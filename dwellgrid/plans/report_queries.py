@@ -77,7 +77,7 @@ def _(spark, sf):
 ZD = "SELECT store_id, event_date, zone_id"
 HEAT = f"""h1 AS ({ZD}, count(DISTINCT session_name) AS visitor_count FROM ev WHERE NOT is_staff AND zone_id IS NOT NULL GROUP BY 1, 2, 3),
 h2 AS ({ZD}, {xsum('dwell_seconds')} / count(*) AS avg_dwell FROM ev WHERE NOT is_staff AND event_type = 'ZONE_DWELL' GROUP BY 1, 2, 3),
-h3 AS ({ZD}, {xsum('(epoch_us(leave_ts) - epoch_us(enter_ts)) / CAST(1e6 AS DOUBLE)', 6)} / count(*) AS fallback_dwell FROM
+h3 AS ({ZD}, {xsum('(epoch_us(leave_ts) - epoch_us(enter_ts)) / CAST(1e6 AS DOUBLE)')} / count(*) AS fallback_dwell FROM
   (SELECT store_id, event_date, zone_id, session_name, min(ts) AS enter_ts FROM ev WHERE event_type = 'ZONE_ENTER' GROUP BY 1, 2, 3, 4)
   JOIN (SELECT session_name, max(ts) AS leave_ts FROM ev WHERE event_type IN ('ZONE_EXIT', 'EXIT', 'PURCHASE') GROUP BY 1)
   USING (session_name) WHERE leave_ts > enter_ts GROUP BY 1, 2, 3),

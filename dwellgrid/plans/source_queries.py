@@ -38,7 +38,7 @@ def _(spark, sf):
 @query("scan_events_jsonl", with_ctes(_wire, EV))
 def _(spark, sf):
     path = scratch_path(spark, "events-jsonl")
-    writers.write_event_lines(wire_events(spark, sf), path, rows_per_file=500)
+    writers.write_event_lines(wire_events(spark, sf), path)
     return readers.read_events_json(spark, path).select(*WIRE_COLS)
 
 
@@ -163,9 +163,5 @@ def _(spark, sf):
 @query("concat_camera_files", with_ctes("SELECT event_id, camera_id, event_type FROM ev", EV))
 def _(spark, sf):
     path = scratch_path(spark, "camera-feeds")
-    ev = b.events(spark, sf).withColumn("dwell_ms", F.lit(0))
-    cameras = ["CAM_01", "CAM_02", "CAM_03"]
-    for camera in cameras:
-        writers.write_event_lines(ev.where(F.col("camera_id") == camera), f"{path}/{camera}")
-    feeds = readers.read_events_json(spark, *[f"{path}/{camera}" for camera in cameras])
-    return feeds.select("event_id", "camera_id", "event_type")
+    writers.write_camera_feeds(b.events(spark, sf).withColumn("dwell_ms", F.lit(0)), path)
+    return readers.read_events_json(spark, path).select("event_id", "camera_id", "event_type")

@@ -13,12 +13,12 @@ EVENT_FIELDS = (
     "confidence", "metadata",
 )
 
-def event_lines(events: DataFrame) -> DataFrame:
-    """One JSON text per event with the eleven wire fields."""
+def event_lines(events: DataFrame, *keep: str) -> DataFrame:
+    """One JSON text per event with the eleven wire fields, beside the columns to keep."""
     wire = events.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")).withColumnRenamed(
         "metadata_json", "metadata"
     )
-    return wire.select(F.to_json(F.struct(*EVENT_FIELDS)).alias("value"))
+    return wire.select(F.to_json(F.struct(*EVENT_FIELDS)).alias("value"), *keep)
 
 def write_event_lines(events: DataFrame, path: str, rows_per_file: int | None = None) -> None:
     writer = event_lines(events).write.mode("append")
@@ -26,6 +26,10 @@ def write_event_lines(events: DataFrame, path: str, rows_per_file: int | None =
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.text(path)
 
+def write_camera_feeds(events: DataFrame, path: str) -> None:
+    """One folder of JSON lines per camera, whatever cameras there are (none is one of them), from one scan."""
+    event_lines(events.withColumn("feed", F.col("camera_id")), "feed").write.mode("append").partitionBy("feed").text(path)
+
 def write_partitioned(events: DataFrame, path: str) -> None:
     """Fact table partitioned by store and day, sorted by time inside the files for row-group pruning.
 

@@ -21,7 +21,8 @@ def ingest(raw: DataFrame, delay: str = DELAY) -> DataFrame:
 def dedup_semantic(events: DataFrame, delay: str = DELAY) -> DataFrame:
     """One event per visitor, type and second; the state holds the keys of the watermark delay only."""
     keyed = events.withColumn("dedup_key", semantic_key(F.col("visitor_id"), F.col("event_type"), F.col("ts")))
-    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["dedup_key"])
+    keyed = keyed.withColumn("_second", F.date_trunc("second", "ts")).withWatermark("ts", delay)
+    return keyed.dropDuplicatesWithinWatermark(["visitor_id", "event_type", "_second"]).drop("_second")
 
 
 def hourly(events: DataFrame, delay: str = DELAY) -> DataFrame:

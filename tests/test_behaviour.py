@@ -152,8 +152,9 @@ def test_dedup_and_metadata(spark):
     assert value(spark, rollups.queue_depth_of(packed)) == 5
     assert value(spark, rollups.dwell_seconds_of(packed)) is None
     assert value(spark, rollups.queue_depth_of(F.lit('{"queue_depth": "many"}'))) is None
-    assert value(spark, hashing.track_number(F.lit("CAM_7"))) == 7
-    assert 0 <= value(spark, hashing.track_number(F.lit("guest"))) < 100000
+    assert value(spark, hashing.track_number(F.lit("CAM_007"))) == "7"
+    assert value(spark, hashing.track_number(F.lit("T_" + "9" * 30))) == "9" * 30
+    assert 0 <= int(value(spark, hashing.track_number(F.lit("guest")))) < 100000
 
 
 def box(x1, y1, x2, y2):
