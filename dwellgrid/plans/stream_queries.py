@@ -1,9 +1,10 @@
-"""Registered queries: streaming forms, run over everything available. Windowed results show complete days."""
+"""Registered queries: streaming forms, run over everything available. What the watermark leaves open at the end of the
+data is completed by the same operator in batch, over the newest days only."""
 
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.scoring import seconds_between
-from dwellgrid.operators import identity
+from dwellgrid.operators import identity, queueing
 from dwellgrid.plans import binding as b
 from dwellgrid.plans import derived as d
 from dwellgrid.plans.anomaly_queries import ALERTS, BASE, SIG
@@ -15,14 +16,15 @@ from dwellgrid.plans.registry import query
 from dwellgrid.session import scratch_path
 from dwellgrid.sources import readers, writers
 from dwellgrid.streaming import batches, flows, queue
-from dwellgrid.streaming.jobs import rocksdb_state, run_available, run_batches
+from dwellgrid.streaming.jobs import DELAY, rocksdb_state, run_available, run_batches, with_open_rest
 
-LAST_DAY = "(SELECT max(event_date) FROM ev)"
+def tail_start(spark, sf):
+    """Start of the day before the final watermark's: everything older is closed."""
+    return F.date_trunc("day", d.latest(spark, sf) - F.expr(f"interval {DELAY}")) - F.expr("interval 1 day")
 
 
-def complete_days(df, ts, spark, sf):
-    """Windows of days the watermark has passed."""
-    return df.where(F.col(ts) < F.date_trunc("day", d.latest(spark, sf)))
+def tail(spark, sf):
+    return b.events(spark, sf).where(F.col("ts") >= tail_start(spark, sf))
 
 
 @query("stream_ingest", with_ctes("SELECT event_id, store_id, event_type, ts FROM ev WHERE k <> 98", EV))
@@ -36,37 +38,53 @@ def _(spark, sf):
 
 
 @query("stream_hourly", with_ctes(f"""SELECT store_id, date_trunc('hour', ts) AS hour_bucket, count(DISTINCT session_name) AS active_sessions
-  FROM ev WHERE NOT is_staff AND event_date < {LAST_DAY} GROUP BY 1, 2""", EV))
+  FROM ev WHERE NOT is_staff GROUP BY 1, 2""", EV))
 def _(spark, sf):
+    def flat(df):
+        return df.select("store_id", F.col("hour.start").alias("hour_bucket"), "active_sessions")
+
     out = run_available(flows.hourly(b.events_stream(spark, sf)), "stream-hourly")
-    return complete_days(out.select("store_id", F.col("hour.start").alias("hour_bucket"), "active_sessions"), "hour_bucket", spark, sf)
+    return with_open_rest(flat(out), flat(flows.hourly(tail(spark, sf))), ["store_id", "hour_bucket"])
 
 
 @query("stream_daily", with_ctes(f"""SELECT store_id, event_date, CAST(sum(n) AS BIGINT) AS session_hours, max(n) AS busiest_hour FROM (
   SELECT store_id, event_date, date_trunc('hour', ts) AS h, count(DISTINCT session_name) AS n FROM ev WHERE NOT is_staff GROUP BY 1, 2, 3)
-  WHERE event_date < {LAST_DAY} GROUP BY 1, 2""", EV))
+  GROUP BY 1, 2""", EV))
 def _(spark, sf):
+    def flat(df):
+        return df.select("store_id", F.to_date("day.start").alias("event_date"), "session_hours", "busiest_hour")
+
     out = run_available(flows.daily(b.events_stream(spark, sf)), "stream-daily")
-    days = out.select("store_id", F.to_date("day.start").alias("event_date"), "session_hours", "busiest_hour")
-    return days.where(F.col("event_date") < F.to_date(d.latest(spark, sf)))
+    hours = flows.hourly(tail(spark, sf)).withColumn("day", F.window("hour.start", "1 day"))
+    rest = hours.groupBy("day", "store_id").agg(
+        F.sum("active_sessions").alias("session_hours"), F.max("active_sessions").alias("busiest_hour"))
+    return with_open_rest(flat(out), flat(rest), ["store_id", "event_date"])
 
 
 @query("stream_sessions", with_ctes(f"""SELECT store_id, visitor_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS events FROM (
   SELECT *, sum(new) OVER (PARTITION BY store_id, visitor_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM (
     SELECT *, CASE WHEN gap IS NULL OR gap >= 1800 THEN 1 ELSE 0 END AS new FROM gaps))
-  GROUP BY store_id, visitor_id, n HAVING strftime(max(ts), '%Y-%m-%d') < {LAST_DAY}""", EV, GAPS))
+  GROUP BY store_id, visitor_id, n""", EV, GAPS))
 def _(spark, sf):
+    def flat(df):
+        return df.select("store_id", "visitor_id", F.col("span.start").alias("start_ts"), "end_ts", "events")
+
     out = run_available(flows.sessions(b.events_stream(spark, sf)), "stream-sessions")
-    flat = out.select("store_id", "visitor_id", F.col("span.start").alias("start_ts"), "end_ts", "events")
-    return complete_days(flat, "end_ts", spark, sf)
+    # an open session may have begun at any time, but its visitor was seen lately
+    seen = tail(spark, sf).select("store_id", "visitor_id").distinct()
+    rest = flat(flows.sessions(b.events(spark, sf).join(seen, ["store_id", "visitor_id"], "left_semi")))
+    recent = rest.where(F.col("end_ts") >= tail_start(spark, sf))
+    return with_open_rest(flat(out), recent, ["store_id", "visitor_id", "start_ts"])
 
 
 @query("stream_queue", with_ctes("""SELECT store_id, visitor_id, event_id, leave_time AS ts FROM qi
-  WHERE abandoned AND strftime(leave_time, '%Y-%m-%d') < (SELECT max(event_date) FROM ev)""", EV, GAPS, QUEUE))
+  WHERE abandoned""", EV, GAPS, QUEUE))
 def _(spark, sf):
     with rocksdb_state(spark):
         out = run_available(queue.queue_abandons(b.events_stream(spark, sf)), "stream-queue")
-    return complete_days(out.select("store_id", "visitor_id", "event_id", F.timestamp_micros("abandon_us").alias("ts")), "ts", spark, sf)
+    closed = out.select("store_id", "visitor_id", "event_id", F.timestamp_micros("abandon_us").alias("ts"))
+    rest = queueing.queue_abandons(queueing.queue_intervals(tail(spark, sf)))
+    return with_open_rest(closed, rest.select(*closed.columns), ["event_id"])
 
 
 @query("stream_identity", recursive("SELECT tracklet_id, store_id, visitor_id FROM ident JOIN trk USING (tracklet_id)", EV, EMB, TRK, BEST, LINKS, ROOTS))
@@ -109,21 +127,28 @@ def _(spark, sf):
 
 @query("stream_zone_activity", with_ctes(f"""SELECT store_id, zone_id, span_start, count(*) AS visits FROM (
   SELECT store_id, zone_id, ts, unnest(generate_series(0, 5)) AS i, time_bucket(INTERVAL 5 MINUTE, ts) - i * INTERVAL 5 MINUTE AS span_start
-  FROM ev WHERE NOT is_staff AND event_type IN ('ZONE_ENTER', 'ZONE_DWELL')) WHERE strftime(span_start, '%Y-%m-%d') < {LAST_DAY} GROUP BY 1, 2, 3""", EV))
+  FROM ev WHERE NOT is_staff AND event_type IN ('ZONE_ENTER', 'ZONE_DWELL')) GROUP BY 1, 2, 3""", EV))
 def _(spark, sf):
+    def flat(df):
+        return df.select("store_id", "zone_id", F.col("span.start").alias("span_start"), "visits")
+
     out = run_available(flows.zone_activity(b.events_stream(spark, sf)), "stream-zones")
-    flat = out.select("store_id", "zone_id", F.col("span.start").alias("span_start"), "visits")
-    return complete_days(flat, "span_start", spark, sf)
+    rest = flat(flows.zone_activity(tail(spark, sf))).where(F.col("span_start") >= tail_start(spark, sf))
+    return with_open_rest(flat(out), rest, ["store_id", "zone_id", "span_start"])
 
 
 @query("stream_pos_link", with_ctes(f"""SELECT t.event_id AS tx_id, t.store_id, arg_max({uuid5_sql('e.session_name')}, (e.ts, {uuid5_sql('e.session_name')})) AS session_id, t.ts
   FROM ev t JOIN ev e ON e.store_id = t.store_id AND e.event_type = 'ENTRY' AND NOT e.is_staff AND e.ts <= t.ts AND t.ts <= e.ts + INTERVAL 300 SECOND
-  WHERE t.event_type = 'PURCHASE' AND t.event_date < {LAST_DAY} GROUP BY t.event_id, t.store_id, t.ts""", EV))
+  WHERE t.event_type = 'PURCHASE' GROUP BY t.event_id, t.store_id, t.ts""", EV))
 def _(spark, sf):
-    entries = b.events_stream(spark, sf).where((F.col("event_type") == "ENTRY") & ~F.col("is_staff")).select(
-        "store_id", "session_id", F.col("ts").alias("entry_ts"))
-    out = run_available(flows.pos_links(entries, b.purchases_as_transactions(b.events_stream(spark, sf))), "stream-pos")
-    return complete_days(out.select("tx_id", "store_id", "session_id", "ts"), "ts", spark, sf)
+    def links(rows):
+        entries = rows.where((F.col("event_type") == "ENTRY") & ~F.col("is_staff")).select(
+            "store_id", "session_id", F.col("ts").alias("entry_ts"))
+        return flows.pos_links(entries, b.purchases_as_transactions(rows)).select("tx_id", "store_id", "session_id", "ts")
+
+    out = run_available(links(b.events_stream(spark, sf)), "stream-pos")
+    rest = links(tail(spark, sf)).where(F.col("ts") >= tail_start(spark, sf) + F.expr("interval 300 seconds"))
+    return with_open_rest(out, rest, ["tx_id"])
 
 
 SPLIT = "strftime((SELECT min(ts) FROM ev) + INTERVAL 15 DAY, '%Y-%m-%d')"
@@ -134,7 +159,7 @@ SPLIT = "strftime((SELECT min(ts) FROM ev) + INTERVAL 15 DAY, '%Y-%m-%d')"
 def _(spark, sf):
     root = scratch_path(spark, "stream-late")
     ev = b.events(spark, sf).select("event_id", "store_id", "ts", "event_date", "k")
-    split = F.date_add(F.to_date(F.lit(str(ev.agg(F.min("ts").alias("t")).first()["t"])).cast("timestamp")), 15)
+    split = F.date_add(ev.agg(F.to_date(F.min("ts"))).scalar(), 15)
     first = (F.col("event_date") < split) & (F.col("k") != 77)
     ev.where(first).coalesce(1).write.parquet(f"{root}/feed/1")
     ev.where(~first).coalesce(1).write.parquet(f"{root}/feed/2")
