@@ -12,7 +12,7 @@ from dwellgrid.llm import bpe, secret_scan, url_filter
 from tests.llm.cases import no_documents, odd_documents, plain
 
 KINDS = {
-    "assign": (re.compile("((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"),
+    "assign": (re.compile("((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII),
                lambda m: len(m[2]) >= 6),
     "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
     "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
