@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.scoring import exact_avg, exact_sum
 from dwellgrid.operators.funnel import DAY, abandonment_visitors, conversion_rate, store_day_funnel
-from dwellgrid.operators.sessions import session_dwell
+from dwellgrid.operators.sessions import session_dwell, session_fold
 
 HOUR = ["store_id", "hour_bucket"]
 QUEUE_EVENTS = ("BILLING_QUEUE_JOIN", "BILLING_QUEUE_ABANDON")
@@ -177,6 +179,23 @@ def store_metrics(
     )
 
 
+def refreshed_hours(
+    events: DataFrame, touched: DataFrame, transactions_of: Callable[[DataFrame], DataFrame], as_of: Column
+) -> DataFrame:
+    """Hourly rows of the touched store hours, from the events of the touched store days alone."""
+    base = events.join(touched.select("store_id", "event_date").distinct(), DAY, "left_semi")
+    fresh = hourly_metrics(base, session_fold(base), transactions_of(base), as_of)
+    return fresh.join(touched.select(*HOUR).distinct(), HOUR, "left_semi").withColumn("event_date", F.to_date("hour_bucket"))
+
+
+def refreshed_days(
+    events: DataFrame, touched: DataFrame, transactions_of: Callable[[DataFrame], DataFrame], as_of: Column
+) -> DataFrame:
+    """Daily rows of the touched store days, from their events alone."""
+    base = events.join(touched.select("store_id", "event_date").distinct(), DAY, "left_semi")
+    return daily_metrics(hourly_metrics(base, session_fold(base), transactions_of(base), as_of))
+
+
 def affected_buckets(batch: DataFrame) -> DataFrame:
     """Distinct store hours touched by a batch of events."""
     return batch.select(

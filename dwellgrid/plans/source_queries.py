@@ -92,9 +92,12 @@ def _(spark, sf):
   FROM ev""", EV, REPLAY))
 def _(spark, sf):
     cols = ["event_id", "store_id", "ts"]
-    stored = b.events(spark, sf).where(F.col("event_type") == "PURCHASE").select(*cols, F.lit("stored").alias("origin"))
+    path = scratch_path(spark, "event-table")
+    b.events(spark, sf).where(F.col("event_type") == "PURCHASE").select(*cols, F.lit("stored").alias("origin")).write.parquet(path)
     batch = replayed(spark, sf).select(*cols, F.lit("new").alias("origin"))
-    return writers.insert_ignore(stored, batch, "event_id", ["ts"])
+    for _ in range(2):  # the replay adds nothing
+        writers.insert_ignore_into(path, batch, "event_id", ["ts"])
+    return spark.read.parquet(path)
 
 
 MERGE = """half AS (SELECT session_name, store_id, visitor_id, hour(ts) >= 12 AS late, min(ts) AS e, max(ts) FILTER (event_type = 'EXIT') AS x,
@@ -109,11 +112,15 @@ merged AS (SELECT session_name, o.store_id AS os, n.store_id AS ns, coalesce(o.s
 @query("sink_upsert_sessions", with_ctes(f"""SELECT {uuid5_sql('m.session_name')} AS session_id, store_id, visitor_id, entry_time, exit_time,
   dwell_seconds, is_converted, is_reentry, coalesce(zones, '') AS zones_visited FROM merged m LEFT JOIN zl USING (session_name)""", EV, MERGE, ZLIST))
 def _(spark, sf):
-    ev = b.events(spark, sf)
-    old = sessions.session_fold(ev.where(F.hour("ts") < 12))
-    new = sessions.session_fold(ev.where(F.hour("ts") >= 12))
-    out = writers.upsert_sessions(old, new)
-    return out.drop("is_staff").withColumn("zones_visited", F.array_join("zones_visited", ","))
+    ev, path = b.events(spark, sf), scratch_path(spark, "session-table")
+    old, new = (
+        sessions.session_fold(ev.where(half)).withColumn("event_date", F.to_date("entry_time"))
+        for half in (F.hour("ts") < 12, F.hour("ts") >= 12)
+    )
+    writers.overwrite_partitions(old, path, "event_date")
+    writers.upsert_sessions_into(path, new)
+    out = spark.read.schema(new.schema).parquet(path)
+    return out.drop("is_staff", "event_date").withColumn("zones_visited", F.array_join("zones_visited", ","))
 
 
 RECENT = "(SELECT max(ts) FROM ev) - INTERVAL 7 DAY"
@@ -123,24 +130,30 @@ RECENT = "(SELECT max(ts) FROM ev) - INTERVAL 7 DAY"
   CASE WHEN (store_id, hour_bucket) IN (SELECT store_id, date_trunc('hour', ts) FROM ev WHERE ts >= {RECENT}) THEN conversions ELSE 0 END AS conversions
   FROM hourly""", EV, TX, SESS, HOURLY))
 def _(spark, sf):
-    now = d.stored_hourly(spark, sf).select("store_id", "hour_bucket", "unique_visitors", "conversions")
-    stored = now.withColumn("conversions", F.lit(0).cast("long"))
-    batch = b.events(spark, sf).where(F.col("ts") >= d.latest(spark, sf) - F.expr("interval 7 days"))
-    touched = rollups.affected_buckets(batch).select("store_id", "hour_bucket")
-    return writers.replace_rows(stored, now.join(touched, rollups.HOUR, "left_semi"), rollups.HOUR)
+    path, as_of = scratch_path(spark, "hourly"), d.latest(spark, sf)
+    cols = [*rollups.HOUR, "event_date", "unique_visitors", "conversions"]
+    before = d.hourly_table(spark, sf).withColumn("event_date", F.to_date("hour_bucket")).select(cols)
+    writers.overwrite_partitions(before.withColumn("conversions", F.lit(0).cast("long")), path, "event_date")
+    events = b.events(spark, sf)
+    touched = cut_lineage(rollups.affected_buckets(events.where(F.col("ts") >= as_of - F.expr("interval 7 days"))))
+    fresh = rollups.refreshed_hours(events, touched, b.purchases_as_transactions, as_of).select(cols)
+    writers.upsert_rows_into(path, fresh, rollups.HOUR)
+    return spark.read.schema(fresh.schema).parquet(path).drop("event_date")
 
 
 @query("sink_upsert_daily", with_ctes(f"""SELECT store_id, event_date, unique_visitors,
   CASE WHEN (store_id, event_date) IN (SELECT store_id, event_date FROM ev WHERE ts >= {RECENT}) THEN conversions ELSE 0 END AS conversions
   FROM daily""", EV, TX, SESS, HOURLY, DAILY))
 def _(spark, sf):
-    path, keys = scratch_path(spark, "daily"), ["store_id", "event_date"]
-    now = cut_lineage(d.daily_table(spark, sf).select(*keys, "unique_visitors", "conversions"))
-    writers.overwrite_partitions(now.withColumn("conversions", F.lit(0).cast("long")), path, "event_date")
-    batch = b.events(spark, sf).where(F.col("ts") >= d.latest(spark, sf) - F.expr("interval 7 days"))
-    days = rollups.affected_buckets(batch).select(*keys).distinct()
-    stored = spark.read.parquet(path).select(now.columns)
-    return writers.replace_rows(stored, now.join(days, keys, "left_semi"), keys)
+    path, keys, as_of = scratch_path(spark, "daily"), ["store_id", "event_date"], d.latest(spark, sf)
+    cols = [*keys, "unique_visitors", "conversions"]
+    before = d.daily_table(spark, sf).select(cols).withColumn("conversions", F.lit(0).cast("long"))
+    writers.overwrite_partitions(before, path, "event_date")
+    events = b.events(spark, sf)
+    touched = cut_lineage(rollups.affected_buckets(events.where(F.col("ts") >= as_of - F.expr("interval 7 days"))))
+    fresh = rollups.refreshed_days(events, touched, b.purchases_as_transactions, as_of).select(cols)
+    writers.upsert_rows_into(path, fresh, keys)
+    return spark.read.schema(fresh.schema).parquet(path)
 
 
 @query("upsert_zones", with_ctes("""SELECT store_id, zone_id, 'ignore' AS mode, CASE WHEN zone_type = 'DISPLAY' THEN 'Old ' || zone_name ELSE zone_name END AS zone_name FROM zn
@@ -148,16 +161,25 @@ def _(spark, sf):
 def _(spark, sf):
     new = b.zones(spark, sf).drop("polygon")
     known = new.where(F.col("zone_type") == "DISPLAY").withColumn("zone_name", F.concat(F.lit("Old "), "zone_name"))
-    parts = [writers.upsert_zones(known, new, m).select("store_id", "zone_id", F.lit(m).alias("mode"), "zone_name") for m in ("ignore", "overwrite")]
+    parts = []
+    for mode in ("ignore", "overwrite"):
+        path = scratch_path(spark, f"zone-table-{mode}")
+        writers.overwrite_partitions(known, path, "store_id")
+        writers.upsert_zones_into(path, new, mode)
+        stored = spark.read.schema(new.schema).parquet(path)
+        parts.append(stored.select("store_id", "zone_id", F.lit(mode).alias("mode"), "zone_name"))
     return parts[0].unionByName(parts[1])
 
 
 @query("auto_register_store", with_ctes("""SELECT DISTINCT store_id, store_id AS name, 'Asia/Kolkata' AS timezone FROM ev
   WHERE store_id NOT IN (SELECT arg_min(store_id, ts) FROM ev)""", EV))
 def _(spark, sf):
-    ev = b.events(spark, sf)
+    ev, path = b.events(spark, sf), scratch_path(spark, "store-table")
     first = ev.agg(F.min_by("store_id", "ts").alias("store_id"))
-    return writers.register_stores(first, ev)
+    first.select("store_id", F.lit("known").alias("name"), F.lit("UTC").alias("timezone")).write.parquet(path)
+    for _ in range(2):  # a store is registered once
+        writers.register_stores_into(path, ev)
+    return spark.read.parquet(path).where("name <> 'known'")
 
 
 @query("concat_camera_files", with_ctes("SELECT event_id, camera_id, event_type FROM ev", EV))

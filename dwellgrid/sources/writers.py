@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.functions.scoring import seconds_between
 from dwellgrid.operators.quality import first_per_key
+from dwellgrid.session import cut_lineage
 
 EVENT_FIELDS = (
     "event_id", "store_id", "camera_id", "visitor_id", "event_type", "timestamp", "zone_id", "dwell_ms", "is_staff",
@@ -51,6 +52,38 @@ def overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
     """Replaces only the partitions present in ``rows`` (files of other partitions stay)."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
+def replace_days(path: str, rows: DataFrame, partition: str = "event_date") -> None:
+    """Writes merged rows of some partitions over the stored ones. The rows may come from the table itself, so they are
+    staged first; files of other partitions stay as they are."""
+    overwrite_partitions(cut_lineage(rows), path, partition)
+
+def stored_days(path: str, days: DataFrame, like: DataFrame, partition: str = "event_date") -> DataFrame:
+    """Rows of a partitioned table that lie in the given partitions."""
+    stored = days.sparkSession.read.schema(like.schema).parquet(path)
+    return stored.join(days.select(partition).distinct(), partition, "left_semi").select(like.columns)
+
+def insert_ignore_into(path: str, new: DataFrame, key: str, order: list[str]) -> None:
+    """Appends the first new row of every key the table does not hold; a replayed batch adds nothing."""
+    existing = new.sparkSession.read.schema(new.schema).parquet(path).select(key)
+    fresh = first_per_key(new, [key], order).join(existing, key, "left_anti")
+    cut_lineage(fresh.select(new.columns)).write.mode("append").parquet(path)
+
+def upsert_rows_into(path: str, new: DataFrame, keys: list[str], partition: str = "event_date") -> None:
+    """Stored rows with those of the new keys replaced; only partitions of new rows are rewritten."""
+    staged = cut_lineage(new)
+    replace_days(path, replace_rows(stored_days(path, staged, staged, partition), staged, keys), partition)
+
+def upsert_sessions_into(path: str, new: DataFrame, replace_zones: bool = False) -> None:
+    """Merges a newer fold into the session table, which is partitioned by ``event_date``, the day of the session's id."""
+    staged = cut_lineage(new)
+    old = stored_days(path, staged, staged)
+    day = F.coalesce("event_date", "n_date").alias("event_date")
+    days = old.select("session_id", "event_date").join(
+        staged.select("session_id", F.col("event_date").alias("n_date")), "session_id", "full"
+    ).select("session_id", day)
+    merged = upsert_sessions(old.drop("event_date"), staged.drop("event_date"), replace_zones)
+    replace_days(path, merged.join(days, "session_id").select(staged.columns))
+
 def upsert_sessions(old: DataFrame, new: DataFrame, replace_zones: bool = False) -> DataFrame:
     """Stored sessions merged with a newer fold: entry and re-entry stay, exit, dwell, staff flag and zones move on."""
     o = old.select(*[F.col(c).alias("o_" + c) if c != "session_id" else F.col(c) for c in old.columns])
@@ -86,3 +119,13 @@ def register_stores(stores: DataFrame, events: DataFrame, timezone: str = "Asia/
     unknown = events.select("store_id").distinct().join(stores.select("store_id"), "store_id", "left_anti")
     return unknown.select("store_id", F.col("store_id").alias("name"), F.lit(timezone).alias("timezone"))
 
+def register_stores_into(path: str, events: DataFrame) -> None:
+    """Appends the unknown stores of a batch to the store table."""
+    known = events.sparkSession.read.parquet(path)
+    cut_lineage(register_stores(known, events).select(known.columns)).write.mode("append").parquet(path)
+
+def upsert_zones_into(path: str, new: DataFrame, mode: str) -> None:
+    """Zone table partitioned by store; only stores of the new rows are rewritten."""
+    staged = cut_lineage(new)
+    merged = upsert_zones(stored_days(path, staged, staged, "store_id"), staged, mode)
+    replace_days(path, merged.select(staged.columns), "store_id")
