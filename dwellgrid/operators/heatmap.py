@@ -13,7 +13,7 @@ from dwellgrid.config import HeatmapConfig
 from dwellgrid.functions.labels import score_tier
 from dwellgrid.functions.scoring import exact_avg, seconds_between
 from dwellgrid.operators.funnel import DAY, not_staff
-from dwellgrid.operators.rollups import dwell_seconds_of
+from dwellgrid.operators.rollups import event_dwell
 
 ZONE_DAY = [*DAY, "zone_id"]
 
@@ -27,7 +27,7 @@ def zone_visitors(events: DataFrame) -> DataFrame:
 
 
 def zone_avg_dwell(events: DataFrame) -> DataFrame:
-    dwell = dwell_seconds_of(F.col("metadata_json"))
+    dwell = event_dwell(events)
     rows = _in_zone(events).where(F.col("event_type") == "ZONE_DWELL")
     return rows.groupBy(*ZONE_DAY).agg(exact_avg(dwell).alias("avg_dwell"))
 

@@ -85,15 +85,15 @@ def funnel_insight(rich: DataFrame, arpu: float = DEFAULT_ARPU) -> DataFrame:
 
 
 def period_compare(rich: DataFrame) -> DataFrame:
-    """Points gained or lost against the day before and the means of the last 7 and 30 rows."""
-    w = Window.partitionBy("store_id", "stage_id").orderBy("event_date")
+    """Points gained or lost against the day before and the means of the last 7 and 30 calendar days; a closed day is
+    no yesterday."""
+    w = Window.partitionBy("store_id", "stage_id").orderBy(F.unix_date("event_date"))
     rate = F.col("conversion_rate")
 
-    def against(base: Column) -> Column:
-        return F.round(rate - base, 1)
+    def against(days: int) -> Column:
+        return F.round(rate - F.round(F.avg(rate).over(w.rangeBetween(-days, -1)), 6), 1)
 
     return rich.select(
-        *DAY, "stage_id", "conversion_rate", against(F.lag("conversion_rate").over(w)).alias("vs_yesterday"),
-        against(F.round(F.avg("conversion_rate").over(w.rowsBetween(-7, -1)), 6)).alias("vs_7d"),
-        against(F.round(F.avg("conversion_rate").over(w.rowsBetween(-30, -1)), 6)).alias("vs_30d"),
+        *DAY, "stage_id", "conversion_rate", against(1).alias("vs_yesterday"), against(7).alias("vs_7d"),
+        against(30).alias("vs_30d"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dwellgrid.functions.scoring import exact_avg
 from dwellgrid.operators.funnel import DAY
 from dwellgrid.operators.ordered import OrderedRows
-from dwellgrid.operators.rollups import dwell_seconds_of
+from dwellgrid.operators.rollups import event_dwell
 
 DEFAULT_CONFIDENCE = 0.94
 
@@ -30,7 +30,7 @@ def entrance_stats(events: DataFrame) -> DataFrame:
 
 
 def zone_stats(events: DataFrame) -> DataFrame:
-    dwell = F.when(F.col("event_type") == "ZONE_DWELL", dwell_seconds_of(F.col("metadata_json")))
+    dwell = F.when(F.col("event_type") == "ZONE_DWELL", event_dwell(events))
     return events.groupBy(*DAY).agg(
         _count("ZONE_ENTER").alias("zone_enter_count"), _count("ZONE_EXIT").alias("zone_exit_count"),
         _count("ZONE_DWELL").alias("zone_dwell_count"),
@@ -83,7 +83,7 @@ def event_stream_report(events: DataFrame) -> DataFrame:
         "ZONE_DWELL": "zone_dwell", "BILLING_QUEUE_JOIN": "queue_join", "BILLING_QUEUE_ABANDON": "queue_abandon",
         "PURCHASE": "purchase",
     }
-    dwell = F.when(F.col("event_type") == "ZONE_DWELL", dwell_seconds_of(F.col("metadata_json"))).cast("decimal(38,16)")
+    dwell = F.when(F.col("event_type") == "ZONE_DWELL", event_dwell(events)).cast("decimal(38,16)")
     conf = F.col("confidence").cast("decimal(38,16)")
     sums = [*kinds.values(), "dwell_sum", "dwell_n", "conf_sum", "conf_n"]
     per_camera = events.groupBy(*DAY, "visitor_id", "camera_id").agg(

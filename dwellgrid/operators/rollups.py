@@ -23,6 +23,14 @@ def dwell_seconds_of(metadata: Column) -> Column:
     return F.get_json_object(metadata, "$.dwell_seconds").try_cast("double")
 
 
+def event_dwell(events: DataFrame) -> Column:
+    """Dwell of an event in seconds: from its metadata, else from ``dwell_ms`` where the feed sends it (0 is none)."""
+    told = dwell_seconds_of(F.col("metadata_json"))
+    if "dwell_ms" not in events.columns:
+        return told
+    return F.coalesce(told, F.when(F.col("dwell_ms") > 0, F.col("dwell_ms") / 1000))
+
+
 def hourly_sessions(sessions: DataFrame, as_of: Column, legacy_staff_count: bool = False) -> DataFrame:
     """Sessions by hour of entry. Sessions are unique rows, so plain counts are distinct counts."""
     customer = ~F.col("is_staff")
@@ -59,7 +67,7 @@ def hourly_revenue(transactions: DataFrame) -> DataFrame:
 
 def hourly_zone_dwell(events: DataFrame) -> DataFrame:
     """Map of zone to average dwell per store and hour (one entry per zone of the store)."""
-    dwell = dwell_seconds_of(F.col("metadata_json"))
+    dwell = event_dwell(events)
     per_zone = (
         events.where((F.col("event_type") == "ZONE_DWELL") & F.col("zone_id").isNotNull())
         .groupBy("store_id", F.date_trunc("hour", "ts").alias("hour_bucket"), "zone_id")

@@ -52,14 +52,16 @@ def bind_events(table_rows: DataFrame) -> DataFrame:
     e = F.col("event_type")
     in_zone, billing = e.startswith("ZONE_"), e.isin("BILLING_QUEUE_JOIN", "BILLING_QUEUE_ABANDON", "PURCHASE")
     day = F.to_date("ts")
+    by_wire = (e == "ZONE_DWELL") & (F.col("k") % 7 == 3)  # dwell in its wire field instead of the metadata
     return typed.select(
         "*",
         day.alias("event_date"),
         F.when(in_zone, F.element_at(zones, (F.col("k") % 6 + 1).cast("int"))).when(billing, "Z_BILLING").alias("zone_id"),
         F.when(in_zone, "CAM_02").when(billing, "CAM_03").otherwise("CAM_01").alias("camera_id"),
-        F.when(e == "ZONE_DWELL", F.to_json(F.struct((F.col("value") * 10).alias("dwell_seconds"))))
+        F.when((e == "ZONE_DWELL") & ~by_wire, F.to_json(F.struct((F.col("value") * 10).alias("dwell_seconds"))))
         .when(e == "BILLING_QUEUE_JOIN", F.to_json(F.struct((F.col("k") % 10).alias("queue_depth"))))
         .alias("metadata_json"),
+        F.when(by_wire, (F.col("value") * 10 * 1000).cast("int")).otherwise(0).alias("dwell_ms"),
         session_key(F.col("visitor_id"), F.col("store_id"), day, F.lit(0)).alias("session_id"),
         F.struct(
             ((F.col("user_id") * 37) % 1180).cast("double").alias("x1"),
@@ -164,7 +166,8 @@ ev AS (
          WHEN event_type IN ('BILLING_QUEUE_JOIN','BILLING_QUEUE_ABANDON','PURCHASE') THEN 'Z_BILLING' END AS zone_id,
     CASE WHEN event_type LIKE 'ZONE%' THEN 'CAM_02'
          WHEN event_type IN ('BILLING_QUEUE_JOIN','BILLING_QUEUE_ABANDON','PURCHASE') THEN 'CAM_03' ELSE 'CAM_01' END AS camera_id,
-    CASE WHEN event_type = 'ZONE_DWELL' THEN value * 10 END AS dwell_seconds,
+    CASE WHEN event_type = 'ZONE_DWELL' THEN CASE WHEN k % 7 <> 3 THEN value * 10
+      WHEN trunc(value * 10 * 1000) > 0 THEN trunc(value * 10 * 1000) / 1000 END END AS dwell_seconds,
     CASE WHEN event_type = 'BILLING_QUEUE_JOIN' THEN k % 10 END AS queue_depth,
     visitor_id || ':' || store_id || ':' || strftime(ts, '%Y-%m-%d') || ':0' AS session_name,
     CAST((user_id * 37) % 1180 AS DOUBLE) AS x1, CAST((k * 7) % 520 AS DOUBLE) AS y1,

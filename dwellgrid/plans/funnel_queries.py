@@ -212,4 +212,5 @@ smc AS (SELECT *, CASE WHEN billing_joins > 0 THEN printf('%.1f%%', {rnd('CAST(p
 
 @query("summary_counts", with_ctes("SELECT * FROM smc", EV, SUMMARY))
 def _(spark, sf):
-    return funnel.summary_counts(b.events(spark, sf), rollups.dwell_seconds_of(F.col("metadata_json")))
+    ev = b.events(spark, sf)
+    return funnel.summary_counts(ev, rollups.event_dwell(ev))

@@ -165,7 +165,7 @@ def _(spark, sf):
     *ANOM, SUMMARY, BESTWORST))
 def _(spark, sf):
     ev = b.events(spark, sf)
-    counts = funnel.summary_counts(ev, rollups.dwell_seconds_of(F.col("metadata_json")))
+    counts = funnel.summary_counts(ev, rollups.event_dwell(ev))
     return evidence.summary_fields(counts, heatmap.best_worst_zone(ev), anomaly_table(spark, sf))
 
 
@@ -219,11 +219,14 @@ def _(spark, sf):
     return insight.funnel_insight(rich(spark, sf))
 
 
+def _mean(days: int) -> str:
+    return f"""avg(conversion_rate) OVER (PARTITION BY store_id, stage_id ORDER BY CAST(event_date AS DATE)
+    RANGE BETWEEN INTERVAL {days} DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)"""
+
+
 @query("funnel_period_compare", with_ctes(f"""SELECT store_id, event_date, stage_id, conversion_rate,
-  {rnd('conversion_rate - lag(conversion_rate) OVER w', 1)} AS vs_yesterday,
-  {rnd('conversion_rate - ' + rnd('avg(conversion_rate) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)', 6), 1)} AS vs_7d,
-  {rnd('conversion_rate - ' + rnd('avg(conversion_rate) OVER (w ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)', 6), 1)} AS vs_30d
-  FROM rich WINDOW w AS (PARTITION BY store_id, stage_id ORDER BY event_date)""", *RICHS))
+  {rnd('conversion_rate - ' + rnd(_mean(1), 6), 1)} AS vs_yesterday, {rnd('conversion_rate - ' + rnd(_mean(7), 6), 1)} AS vs_7d,
+  {rnd('conversion_rate - ' + rnd(_mean(30), 6), 1)} AS vs_30d FROM rich""", *RICHS))
 def _(spark, sf):
     return insight.period_compare(rich(spark, sf))
 

@@ -220,7 +220,8 @@ ss AS (SELECT *, {rnd('''CAST(0.35 AS DOUBLE) * least(1, total_dwell_seconds / 3
 
 
 def scores(spark, sf):
-    profile = staff.visitor_profile(b.events(spark, sf), rollups.dwell_seconds_of(F.col("metadata_json")))
+    ev = b.events(spark, sf)
+    profile = staff.visitor_profile(ev, rollups.event_dwell(ev))
     return staff.staff_scores(profile)
 
 

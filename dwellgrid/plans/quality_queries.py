@@ -162,7 +162,7 @@ def _(spark, sf):
 def _(spark, sf):
     m = F.col("metadata_json")
     return b.events(spark, sf).select(
-        "event_id", rollups.dwell_seconds_of(m).alias("dwell_seconds"),
+        "event_id", rollups.event_dwell(b.events(spark, sf)).alias("dwell_seconds"),
         rollups.queue_depth_of(m).cast("double").alias("queue_depth"))
 
 
@@ -170,7 +170,7 @@ def _(spark, sf):
     "SELECT event_id, CAST(trunc(dwell_seconds * 1000) AS INTEGER) AS dwell_ms FROM ev WHERE event_type = 'ZONE_DWELL'", EV))
 def _(spark, sf):
     ev = b.events(spark, sf).where(F.col("event_type") == "ZONE_DWELL")
-    return ev.select("event_id", quality.dwell_ms(rollups.dwell_seconds_of(F.col("metadata_json"))).alias("dwell_ms"))
+    return ev.select("event_id", quality.dwell_ms(rollups.event_dwell(ev)).alias("dwell_ms"))
 
 
 @query("raw_track_number", with_ctes("SELECT event_id, CAST(user_id AS VARCHAR) AS track_no, CAST(user_id % 4 AS VARCHAR) AS store_no FROM ev", EV))

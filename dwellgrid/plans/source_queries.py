@@ -22,7 +22,7 @@ def wire_events(spark, sf):
     ev = b.events(spark, sf)
     return ev.withColumn("event_id", F.when(F.col("k") != 93, F.col("event_id"))).withColumn(
         "is_staff", F.when(F.col("is_staff"), True)
-    ).withColumn("dwell_ms", (rollups.dwell_seconds_of(F.col("metadata_json")) * 1000).cast("int"))
+    ).withColumn("dwell_ms", (rollups.event_dwell(ev) * 1000).cast("int"))
 
 
 _wire = f"""SELECT CASE WHEN k <> 93 THEN event_id ELSE {DERIVED_ID} END AS event_id, store_id, camera_id, event_type, ts, zone_id,
