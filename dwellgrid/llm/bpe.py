@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -28,11 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.text import text_bytes
+from dwellgrid.llm.text import portions
 
 LONG_WORD = 64
-OUT_BYTES = 8 << 20
-MEMORY_CHUNKS = 400_000
+MEMORY_CHUNKS = 100_000
+ID_BITS = 20
+ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = sys.maxsize
 #: Fixed value: the white space of the vocabulary's normaliser, which is dropped.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -89,7 +91,11 @@ class BpeCodec:
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
+        # a pair of ids in one number gives its rank and the id it becomes in one number, which orders by rank
+        self.merges = {
+            self.vocab[a] << ID_BITS | self.vocab[b]: rank << ID_BITS | self.vocab[a + b]
+            for rank, (a, b) in enumerate(model["merges"])
+        }
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
         self.names = [names[i].encode() for i in range(len(names))]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -103,59 +109,75 @@ class BpeCodec:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
         self.special_mark = re.compile("|".join(sorted({re.escape(s[:2]) for s in self.specials})))
         self.white = re.compile(f"[{WHITE_SPACE}]+")
-        self.symbols = byte_symbols()
+        symbols = byte_symbols()
+        self.inner = [self.vocab[x] for x in symbols]
+        self.last = [self.vocab[x + self.suffix] for x in symbols]
         self.chunks, self.words = Memory(self._chunk), Memory(self._word)
 
     def _word(self, word: str) -> bytes:
         """Ids of one word, packed."""
-        parts = [self.symbols[b] for b in word.encode("utf-8")]
-        parts[-1] += self.suffix
+        parts = self.first_parts(word)
         if len(parts) > LONG_WORD:
-            parts = self._merge_long(parts)
+            parts = self.merge_long(parts)
         else:
-            self._merge_short(parts)
-        return np.array([self.vocab[p] for p in parts], "<u4").tobytes()
-
-    def _merge_short(self, parts: list[str]) -> None:
-        rank_of = self.ranks.get
-        ranks = [rank_of(pair, NO_RANK) for pair in zip(parts, parts[1:])]
+            self.merge_short(parts)
+        return struct.pack(f"<{len(parts)}I", *parts)
+
+    def first_parts(self, word: str) -> list[int]:
+        """One id per byte, the last with the word end."""
+        data = word.encode("utf-8")
+        parts = [self.inner[b] for b in data]
+        parts[-1] = self.last[data[-1]]
+        return parts
+
+    def merge_short(self, parts: list[int]) -> None:
+        rank_of = self.merges.get
+        ranks = [rank_of(a << ID_BITS | b, NO_RANK) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == NO_RANK:
                 return
             i = ranks.index(least)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
+            parts[i] = least & ID_MASK
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), NO_RANK)
+                ranks[i - 1] = rank_of(parts[i - 1] << ID_BITS | parts[i], NO_RANK)
             if i < len(ranks):
-                ranks[i] = rank_of((parts[i], parts[i + 1]), NO_RANK)
+                ranks[i] = rank_of(parts[i] << ID_BITS | parts[i + 1], NO_RANK)
 
-    def _merge_long(self, parts: list[str]) -> list[str]:
+    def merge_long(self, parts: list[int]) -> list[int]:
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        live: list[str | None] = list(parts)
-        heap = [(self.ranks[pair], i, pair) for i, pair in enumerate(zip(parts, parts[1:])) if pair in self.ranks]
+        live: list[int | None] = list(parts)
+        heap = [
+            (merge, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:]))
+            if (merge := self.merges.get(a << ID_BITS | b)) is not None
+        ]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            merge, i, a, b = heapq.heappop(heap)
             j = after[i] if live[i] is not None else n
-            if j >= n or (live[i], live[j]) != pair:
+            if j >= n or live[i] != a or live[j] != b:
                 continue
-            live[i], live[j] = live[i] + live[j], None
+            live[i], live[j] = merge & ID_MASK, None
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n and (new := (live[left], live[right])) in self.ranks:
-                    heapq.heappush(heap, (self.ranks[new], left, new))
+                if left >= 0 and right < n:
+                    new = self.merges.get(live[left] << ID_BITS | live[right])
+                    if new is not None:
+                        heapq.heappush(heap, (new, left, live[left], live[right]))
         return [p for p in live if p is not None]
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a text without white space or special tokens."""
-        lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        if not lowered.isascii():
-            lowered = lowered.translate(NEW_CAPITALS)
+        if chunk.isascii():
+            lowered = chunk.lower()
+            if lowered.isalpha():
+                return self.words[lowered]
+        else:
+            lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower().translate(NEW_CAPITALS)
             if self.newer.search(lowered):
                 return b"".join([self.words[word] for word in self.cut_newer.findall(lowered)])
         return b"".join([self.words[word] for word in self.cut.findall(lowered)])
@@ -206,19 +228,13 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(file)
-        for batch in batches:
-            begin, size, ids, decoded = 0, 0, [], []
-            for i, text in enumerate(text_bytes(batch.column(1))):
-                ids.append(bpe.encode(text.decode("utf-8", "replace")))
-                decoded.append(bpe.decode(ids[-1]))
-                size += len(ids[-1]) + len(decoded[-1])
-                if size > OUT_BYTES or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(begin, i + 1 - begin), pa.array(ids, pa.binary()),
-                         pa.array(decoded, pa.binary())],
-                        [batch.schema.names[0], "ids", "decoded"],
-                    )
-                    begin, size, ids, decoded = i + 1, 0, [], []
+        for batch, texts in portions(batches, 1):
+            ids = [bpe.encode(text.decode("utf-8", "replace")) for text in texts]
+            decoded = [bpe.decode(i) for i in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
+                [batch.schema.names[0], "ids", "decoded"],
+            )
 
     rows = docs.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[id_col].dataType.simpleString()

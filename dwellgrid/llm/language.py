@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.text import learnable_part, slices, text_bytes
+from dwellgrid.llm.text import learnable_part, portions, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -169,8 +169,8 @@ def predict_languages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net is not None else None
-        for batch in batches:
-            texts = [t.lower() for t in text_bytes(batch.column(2))]
+        for batch, texts in portions(batches, 2):
+            texts = [t.lower() for t in texts]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for part in slices(texts, CHUNK):
                 data, filled, counts = windows(texts[part])

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.text import WordHasher, mix64, slices, text_bytes
+from dwellgrid.llm.text import WordHasher, mix64, portions
 from dwellgrid.session import cut_lineage
 
 SHINGLE = 5
@@ -171,18 +171,15 @@ def sketch_documents(rows: DataFrame) -> DataFrame:
     """(id, raw, node, n, sketch, keys) from (id, raw, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_bytes(batch.column(2))
-            for part in slices(texts):
-                hashes, sizes = shingle_sets(texts[part])
-                found = sketches(hashes, sizes)
-                keys = band_keys(found)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start:part.stop], batch.column(1)[part.start:part.stop],
-                     pa.array(sequence_digests(texts[part]), pa.binary()), pa.array(sizes, pa.int64()),
-                     pa.array([r.tobytes() for r in found], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
-                    ["id", "raw", "node", "n", "sketch", "keys"],
-                )
+        for batch, texts in portions(batches, 2):
+            hashes, sizes = shingle_sets(texts)
+            found = sketches(hashes, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sequence_digests(texts), pa.binary()),
+                 pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in found], pa.binary()),
+                 pa.array(list(band_keys(found)), pa.list_(pa.int64()))],
+                ["id", "raw", "node", "n", "sketch", "keys"],
+            )
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, raw long, node binary, n long, sketch binary, keys array<long>")
@@ -297,24 +294,23 @@ def sets_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
-            texts = text_bytes(batch.column(0))
+        for _, texts in portions(batches, 0):
             digests = sequence_digests(texts)
             fresh = []
             for i, digest in enumerate(digests):
                 if digest is not None and digest not in seen:
                     seen.add(digest)
                     fresh.append(i)
-            texts, digests = [texts[i] for i in fresh], [digests[i] for i in fresh]
-            for part in slices(texts):
-                hashes, sizes = shingle_sets(texts[part])
-                fine = sketches(hashes, sizes, FINE).astype(np.uint8)  # the low byte
-                sets = np.split(hashes, np.cumsum(sizes)[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests[part], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary()),
-                     pa.array([r.tobytes() for r in fine], pa.binary())],
-                    ["node", "shingles", "fine"],
-                )
+            if not fresh:
+                continue
+            hashes, sizes = shingle_sets([texts[i] for i in fresh])
+            fine = sketches(hashes, sizes, FINE).astype(np.uint8)  # the low byte
+            sets = np.split(hashes, np.cumsum(sizes)[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digests[i] for i in fresh], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary()),
+                 pa.array([r.tobytes() for r in fine], pa.binary())],
+                ["node", "shingles", "fine"],
+            )
 
     found = texts.select("text").mapInArrow(run, "node binary, shingles binary, fine binary")
     return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dwellgrid.llm.text import SPACE, WordHasher, learnable_part, mix64, pieces, slices, text_bytes
+from dwellgrid.llm.text import SPACE, WordHasher, learnable_part, mix64, pieces, portions, slices
 from dwellgrid.session import cut_lineage
 
 UNITS = 1 << 13
@@ -201,8 +201,8 @@ def fit_quality(
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, sums = index_vectors(), np.zeros((2 * UNITS, DIM), np.float32)
-        for batch in batches:
-            contexts(text_bytes(batch.column(0)), index, sums)
+        for _, texts in portions(batches, 0):
+            contexts(texts, index, sums)
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
     vectors = np.zeros((2 * UNITS, DIM), np.float32)
@@ -212,8 +212,8 @@ def fit_quality(
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pooled(text_bytes(batch.column(2)), vectors)
+        for batch, texts in portions(batches, 2):
+            found = pooled(texts, vectors)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([v.tobytes() for v in found], pa.binary())],
                 ["draw", "label", "vector"],
@@ -236,8 +236,7 @@ def score_documents(
     rows = docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_bytes(batch.column(2))
+        for batch, texts in portions(batches, 2):
             scores = model.scores(texts) if model is not None else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
@@ -258,7 +257,7 @@ def keep_good(
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.scores(text_bytes(batch.column(place))) >= threshold))
+        for batch, texts in portions(batches, place):
+            yield batch.filter(pa.array(model.scores(texts) >= threshold))
 
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +31,23 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(kind).to_pylist()]
 
 
+def portions(
+    batches: Iterator[pa.RecordBatch], text_at: int, limit: int = CHUNK_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows of about ``limit`` text bytes with their texts, so that a task never copies a whole batch of long
+    texts; a longer text comes alone."""
+    for batch in batches:
+        column = batch.column(text_at)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            done = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + limit, "right")))
+            yield batch.slice(begin, end - begin), text_bytes(column.slice(begin, end - begin))
+            begin = end
+    pa.default_memory_pool().release_unused()
+
+
 def slices(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
     """Consecutive rows of about ``limit`` bytes; a longer row stands alone."""
     begin = size = 0
