@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from dwellgrid.session import cut_lineage
 
 
 def priority_match(
-    pairs: DataFrame, chooser: str, item: str, turn: str, wish: str, carry: list[str]
+    pairs: DataFrame, within: list[str], chooser: str, item: str, order: list[str], carry: list[str]
 ) -> DataFrame:
-    """Result of choosers picking, in order of ``turn``, their free item with the smallest ``wish``.
+    """Choosers pick, one after the other, their best free item.
 
-    Each round settles every pair whose item is its chooser's best free one while the chooser has the
-    first turn among all choosers that could still take the item. The first chooser of every conflict
-    settles in each round, so the loop ends exactly when no candidate pair is left.
+    ``order`` sorts the choosers' turns first and each chooser's wishes after them. Conflicts never leave a group of
+    ``within`` (one camera frame, say), so every group is settled in one pass of its own, whatever the length of its
+    conflict chains; a group must fit in a task.
     """
-    left, matched = cut_lineage(pairs), None
-    while not left.isEmpty():
-        best = left.groupBy(chooser).agg(F.min_by(F.struct(item, *carry), wish).alias("_b"))
-        first = left.groupBy(item).agg(F.min_by(chooser, turn).alias("_c"))
-        picked = best.select(chooser, "_b.*")
-        settled = cut_lineage(
-            picked.join(first, item).where(F.col(chooser) == F.col("_c")).select(chooser, item, *carry)
-        )
-        matched = settled if matched is None else matched.unionByName(settled)
-        left = cut_lineage(
-            left.join(settled.select(chooser), chooser, "left_anti").join(settled.select(item), item, "left_anti")
-        )
-    return pairs.select(chooser, item, *carry).limit(0) if matched is None else matched
+    names = [chooser, item, *carry]
+
+    def settle(group: pa.Table) -> pa.Table:
+        ranked = group.sort_by([(c, "ascending") for c in order])
+        chosen, taken, keep = set(), set(), []
+        for at, (c, i) in enumerate(zip(ranked.column(chooser).to_pylist(), ranked.column(item).to_pylist())):
+            if c not in chosen and i not in taken:
+                chosen.add(c)
+                taken.add(i)
+                keep.append(at)
+        return ranked.take(pa.array(keep, pa.int64())).select(names)
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in names)
+    return pairs.groupBy(*within).applyInArrow(settle, kinds)

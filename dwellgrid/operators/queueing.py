@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dwellgrid.config import QueueConfig
 from dwellgrid.functions.scoring import seconds_between
 from dwellgrid.operators.ordered import OrderedRows
+from dwellgrid.session import cut_lineage
 
 VISITOR = ["store_id", "visitor_id"]
 
@@ -34,7 +35,9 @@ def queue_depth(intervals: DataFrame) -> DataFrame:
         F.struct(F.col("join_time").alias("ts"), F.lit(1).alias("delta")),
         F.struct(F.col("leave_time").alias("ts"), F.lit(-1).alias("delta")),
     )
-    moves = intervals.select("store_id", "visitor_id", "event_id", F.inline(change)).where(F.col("ts").isNotNull())
+    moves = cut_lineage(
+        intervals.select("store_id", "visitor_id", "event_id", F.inline(change)).where(F.col("ts").isNotNull())
+    )
     rows = OrderedRows.of(moves, ["store_id"], ["ts", "delta", "event_id"]).running_sum("depth", F.col("delta")).result()
     return rows.withColumn("depth", F.col("depth").cast("long"))
 

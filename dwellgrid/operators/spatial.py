@@ -82,12 +82,11 @@ def frame_iou_match(detections: DataFrame, cfg: DetectionConfig = DetectionConfi
     previous = current.withColumn("frame_idx", F.col("frame_idx") + 1)
     pairs = overlapping_boxes(current, previous, keys, cfg.iou_threshold)
     ranked = pairs.select(
-        "detection_id", "prev_id", "iou",
-        F.struct((F.col("confidence") < cfg.high_confidence).alias("late"), (-F.col("confidence")).alias("c"),
-                 F.col("detection_id").alias("id")).alias("turn"),
-        F.struct((-F.col("iou")).alias("i"), F.col("prev_id").alias("id")).alias("wish"),
+        *keys, "detection_id", "prev_id", "iou", (F.col("confidence") < cfg.high_confidence).alias("late"),
+        (-F.col("confidence")).alias("turn"), (-F.col("iou")).alias("wish"),
     )
-    return priority_match(ranked, "detection_id", "prev_id", "turn", "wish", ["iou"])
+    order = ["late", "turn", "detection_id", "wish", "prev_id"]
+    return priority_match(ranked, keys, "detection_id", "prev_id", order, ["iou"])
 
 
 def predict_position(detections: DataFrame) -> DataFrame:

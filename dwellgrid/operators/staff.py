@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.config import StaffConfig
 from dwellgrid.functions.scoring import exact_sum, staff_score
+from dwellgrid.session import broadcast_if_small
 
 VISITOR = ["store_id", "visitor_id"]
 
@@ -40,7 +41,7 @@ def staff_members(scores: DataFrame, cfg: StaffConfig = StaffConfig()) -> DataFr
 
 def mark_staff(events: DataFrame, staff: DataFrame) -> DataFrame:
     """Events with ``is_staff`` taken from the staff list."""
-    listed = staff.select(*VISITOR, F.lit(True).alias("_s"))
+    listed = broadcast_if_small(staff.select(*VISITOR, F.lit(True).alias("_s")))
     return events.drop("is_staff").join(listed, VISITOR, "left").withColumn(
         "is_staff", F.coalesce("_s", F.lit(False))
     ).drop("_s")

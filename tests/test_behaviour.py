@@ -1,5 +1,6 @@
 """Small literal cases for every area."""
 
+import os
 import uuid
 from datetime import datetime, timedelta
 
@@ -335,3 +336,37 @@ def test_sources_and_merges(spark, tmp_path):
     assert sorted(map(tuple, writers.replace_rows(old, new.limit(1), ["id"]).collect())) == [("k", 2), ("l", 1)]
 
 
+
+
+def test_long_conflict_chain_is_settled_in_one_pass(spark):
+    """Chooser i wants item i - 1 first and item i second; every choice waits for the one before."""
+    from dwellgrid.operators.matching import priority_match
+
+    n = 200
+    rows = [("f", i, i - 1, 0, 0.5) for i in range(1, n)] + [("f", i, i, 1, 0.4) for i in range(n)]
+    rows += [("g", 1000 + i, i, 0, 0.9) for i in range(3)]
+    pairs = spark.createDataFrame(rows, "frame string, c int, item int, wish int, iou double")
+    got = {(r.c, r.item) for r in priority_match(pairs, ["frame"], "c", "item", ["c", "wish"], ["iou"]).collect()}
+    assert got == {(i, i) for i in range(n)} | {(1000 + i, i) for i in range(3)}
+
+
+def test_stages_are_dropped(spark, tmp_path):
+    from dwellgrid.session import cut_lineage, drop_stages
+
+    df = cut_lineage(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path)
+    assert drop_stages(spark) >= 1 and not os.path.exists(path) and drop_stages(spark) == 0
+
+
+def test_upserts_leave_other_partitions_alone(spark, tmp_path):
+    from dwellgrid.sources import writers
+
+    path = str(tmp_path / "hours")
+    old = spark.createDataFrame([("s", 1, "2026-01-01", 1), ("s", 2, "2026-01-02", 2)], "store string, hour int, event_date string, n int")
+    writers.overwrite_partitions(old, path, "event_date")
+    before = sorted(os.listdir(f"{path}/event_date=2026-01-01"))
+    writers.upsert_rows_into(path, old.where("hour = 2").withColumn("n", F.lit(9)), ["store", "hour"])
+    stored = spark.read.schema(old.schema).parquet(path)
+    assert sorted((r.hour, r.n) for r in stored.collect()) == [(1, 1), (2, 9)]
+    assert sorted(os.listdir(f"{path}/event_date=2026-01-01")) == before
