@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.text import portions
+from dwellgrid.llm.text import bounded_batches, portions
 
 LONG_WORD = 64
 MEMORY_CHUNKS = 100_000
@@ -225,6 +225,7 @@ def encode_documents(
     ``path`` is the vocabulary file, by default the installed one; executors open it, so it must exist on each.
     """
     file = path or vocabulary_path()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(file)

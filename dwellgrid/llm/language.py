@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.text import learnable_part, portions, slices
+from dwellgrid.llm.text import bounded_batches, learnable_part, portions, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -163,6 +163,7 @@ def predict_languages(
 ) -> DataFrame:
     """Rows (id, held_out, lang_pred, score), one per input row."""
     _, held = learnable_part(id_col)
+    bounded_batches(docs.sparkSession)
     has_letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
     text = F.when(has_letter, F.col(text_col)) if net is not None else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col), held.alias("held_out"), text.alias("text"))

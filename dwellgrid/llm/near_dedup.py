@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.text import WordHasher, mix64, portions
+from dwellgrid.llm.text import WordHasher, bounded_batches, mix64, portions
 from dwellgrid.session import cut_lineage
 
 SHINGLE = 5
@@ -325,6 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, raw, node, n, component_id, kept), one per input row."""
+    bounded_batches(docs.sparkSession)
     rows = located(docs, id_col, text_col)
     documents = cut_lineage(sketch_documents(rows))
     nodes = cut_lineage(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dwellgrid.llm.text import SPACE, WordHasher, learnable_part, mix64, pieces, portions, slices
+from dwellgrid.llm.text import SPACE, WordHasher, bounded_batches, learnable_part, mix64, pieces, portions, slices
 from dwellgrid.session import cut_lineage
 
 UNITS = 1 << 13
@@ -187,6 +187,7 @@ def fit_quality(
 ) -> QualityModel | None:
     """The model fitted on the bounded sample, None without labelled documents."""
     may_learn, _ = learnable_part(id_col)
+    bounded_batches(docs.sparkSession)
     draw = F.md5(F.col(id_col).cast("string"))
     picked = (
         labels.where(may_learn & F.col(label_col).isNotNull())
@@ -233,6 +234,7 @@ def score_documents(
 ) -> DataFrame:
     """Rows (id, held_out, score, predicted), one per input row."""
     _, held = learnable_part(id_col)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +256,7 @@ def keep_good(
     """The input rows that the classifier does not reject, with their columns; all of them without a model."""
     if model is None:
         return docs
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,12 +10,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = "[\\x20\\x09-\\x0D]"
 WORDS = "[^\\x20\\x09-\\x0D]+"
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 SPACE = 32
 
 
@@ -31,6 +33,14 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(kind).to_pylist()]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the batches that go to Python tasks at ``BATCH_BYTES``; a session that asks for less keeps its setting."""
+    asked = spark.conf.get(BATCH_CONF, "64m").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(asked[-1:], 1)
+    if int(asked.rstrip("kmg")) * unit > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def portions(
     batches: Iterator[pa.RecordBatch], text_at: int, limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
