@@ -4,22 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgrid.config import AnomalyConfig, ReidConfig
 from dwellgrid.operators import anomaly, identity, rollups, sessions
 from dwellgrid.session import cut_lineage
+from dwellgrid.sources.writers import overwrite_partitions
 from dwellgrid.streaming.jobs import batch_path
 
 Handler = Callable[[DataFrame, int], None]
 
 
-def _earlier(spark: SparkSession, root: str, batch_id: int, like: DataFrame) -> DataFrame:
-    """Rows written by the batches before this one."""
+def _newest_before(spark: SparkSession, root: str, batch_id: int) -> Column:
+    """Newest event time of all earlier batches, carried in the progress of the last one; null before the first."""
     if batch_id == 0:
-        return like.limit(0)
-    return spark.read.schema(like.schema).parquet(*[batch_path(root, i) for i in range(batch_id)])
+        return F.lit(None).cast("timestamp")
+    return spark.read.schema("newest timestamp").parquet(batch_path(f"{root}/progress", batch_id - 1)).agg(F.max("newest")).scalar()
+
+
+def _keep_newest(batch: DataFrame, root: str, batch_id: int) -> None:
+    before = _newest_before(batch.sparkSession, root, batch_id)
+    newest = batch.agg(F.max("ts").alias("newest")).select(F.greatest("newest", before).alias("newest"))
+    newest.write.mode("overwrite").parquet(batch_path(f"{root}/progress", batch_id))
 
 
 def identity_handler(root: str, sightings_of: Callable[[DataFrame], DataFrame], cfg: ReidConfig = ReidConfig()) -> Handler:
@@ -50,8 +57,7 @@ def identity_handler(root: str, sightings_of: Callable[[DataFrame], DataFrame],
         tagged.join(fresh.select("tracklet_id"), "tracklet_id", "left_semi").select(
             "tracklet_id", "store_id", "first_ts", "last_ts", "visitor_id"
         ).write.mode("overwrite").parquet(batch_path(f"{root}/ids", batch_id))
-        newest = tagged.agg(F.max("last_ts").alias("t")).first()["t"]
-        horizon = F.lit(newest).cast("timestamp") - F.expr(f"interval {2 * cfg.window_seconds} seconds")
+        horizon = tagged.agg(F.max("last_ts")).scalar() - F.expr(f"interval {2 * cfg.window_seconds} seconds")
         tagged.where(F.col("last_ts") >= horizon).select(*fresh.columns, "visitor_id").write.mode("overwrite").parquet(
             batch_path(f"{root}/recent", batch_id)
         )
@@ -60,10 +66,12 @@ def identity_handler(root: str, sightings_of: Callable[[DataFrame], DataFrame],
 
 
 def anomaly_handler(root: str, transactions_of: Callable[[DataFrame], DataFrame], cfg: AnomalyConfig = AnomalyConfig()) -> Handler:
-    """Appends events, recomputes the touched store days of the rollup and evaluates their hours.
+    """Appends events, recomputes the touched days of the rollup and every alert that they can change.
 
-    ``root/events`` is partitioned by day; only touched days are read back. Alerts are deterministic per
-    store, hour and type, so a repeated batch writes the same ids again."""
+    An hour changes its own alerts and, as part of their baseline, those of the same hour on the following lookback days.
+    Hourly rows and alerts are tables by day; a batch reads and rewrites the touched days and those after them within the
+    lookback, so its work does not depend on the history, alerts of half-filled hours are taken back when the hour fills,
+    and a repeated batch writes the same. ``current_alerts`` reads the result."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(
@@ -71,39 +79,39 @@ def anomaly_handler(root: str, transactions_of: Callable[[DataFrame], DataFrame]
             "metadata_json", "value", "k",
         )
         rows.write.mode("overwrite").partitionBy("event_date").parquet(batch_path(f"{root}/events", batch_id))
-        stored = spark.read.schema(rows.schema).parquet(f"{root}/events")
-        touched = cut_lineage(rollups.affected_buckets(batch))
-        days = touched.select("store_id", "event_date").distinct()
-        base = stored.join(days, ["store_id", "event_date"], "left_semi")
-        as_of = F.lit(str(stored.agg(F.max("ts").alias("t")).first()["t"])).cast("timestamp")
+        _keep_newest(batch, root, batch_id)
+        touched = cut_lineage(rollups.affected_buckets(batch).select("event_date").distinct())
+        base = spark.read.schema(rows.schema).parquet(f"{root}/events").join(touched, "event_date", "left_semi")
+        as_of = spark.read.schema("newest timestamp").parquet(batch_path(f"{root}/progress", batch_id)).agg(F.max("newest")).scalar()
         fresh = rollups.hourly_metrics(base, sessions.session_fold(base), transactions_of(base), as_of).drop("zone_dwell")
-        fresh = fresh.withColumn("event_date", F.to_date("hour_bucket"))
-        previous = fresh.limit(0)
-        if batch_id > 0:
-            previous = spark.read.schema(fresh.schema).parquet(batch_path(f"{root}/hourly", batch_id - 1))
-        kept = previous.join(days, ["store_id", "event_date"], "left_anti")
-        table = cut_lineage(kept.unionByName(fresh))
-        table.write.mode("overwrite").parquet(batch_path(f"{root}/hourly", batch_id))
-        found = anomaly.alerts(anomaly.scored_signals(table, cfg), cfg)
-        found = found.join(
-            touched.select("store_id", F.col("hour_bucket").alias("detected_at")), ["store_id", "detected_at"], "left_semi"
-        )
-        found.write.mode("overwrite").parquet(batch_path(f"{root}/alerts", batch_id))
+        fresh = cut_lineage(fresh.withColumn("event_date", F.to_date("hour_bucket")))
+        overwrite_partitions(fresh, f"{root}/hourly", "event_date")
+
+        def within(first: int, last: int) -> DataFrame:
+            steps = F.sequence(F.lit(first), F.lit(last))
+            return touched.select(F.explode(F.transform(steps, lambda n: F.date_add("event_date", n))).alias("event_date")).distinct()
+
+        days = cut_lineage(within(0, cfg.lookback_days))
+        hourly = spark.read.schema(fresh.schema).parquet(f"{root}/hourly")
+        near = hourly.join(within(-cfg.lookback_days, cfg.lookback_days), "event_date", "left_semi")
+        found = anomaly.alerts(anomaly.scored_signals(near, cfg), cfg).withColumn("event_date", F.to_date("detected_at"))
+        found = found.join(days, "event_date", "left_semi")
+        # a day without alerts gets a row without id, so that its earlier alerts are overwritten
+        overwrite_partitions(cut_lineage(found.unionByName(days, allowMissingColumns=True)), f"{root}/alerts", "event_date")
 
     return handle
 
 
+def current_alerts(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/alerts").where(F.col("anomaly_id").isNotNull()).drop("event_date")
+
+
 def late_handler(root: str, delay_seconds: int = 7200) -> Handler:
     """Sends rows older than the watermark of the earlier batches to the repair path, the rest to the table."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.agg(F.max("ts").alias("max_ts"))
-        seen.write.mode("overwrite").parquet(batch_path(f"{root}/progress", batch_id))
-        newest = _earlier(spark, f"{root}/progress", batch_id, seen).agg(F.max("max_ts").alias("t")).first()["t"]
-        if newest is None:
-            late = F.lit(False)
-        else:
-            late = F.col("ts") < F.lit(str(newest)).cast("timestamp") - F.expr(f"interval {delay_seconds} seconds")
+        _keep_newest(batch, root, batch_id)
+        limit = _newest_before(batch.sparkSession, root, batch_id) - F.expr(f"interval {delay_seconds} seconds")
+        late = F.coalesce(F.col("ts") < limit, F.lit(False))
         batch.where(~late).write.mode("overwrite").parquet(batch_path(f"{root}/table", batch_id))
         batch.where(late).write.mode("overwrite").parquet(batch_path(f"{root}/late", batch_id))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dwellgrid.operators import anomaly, identity, queueing, rollups, sessions
 from dwellgrid.plans import binding as b
 from dwellgrid.plans import derived as d
+from dwellgrid.plans.stream_queries import interleaved
 from dwellgrid.session import scratch_path
 from dwellgrid.streaming import batches, flows, queue
 from dwellgrid.streaming.jobs import rocksdb_state, run_available, run_batches
@@ -38,12 +39,15 @@ def test_identities_over_batches(spark, feed):
     assert got == sorted(map(tuple, want.collect()))
 
 
-def test_anomalies_over_batches(spark, feed):
+@pytest.mark.parametrize("split", ["days", "interleaved"])
+def test_anomalies_over_batches(spark, feed, split):
     root = scratch_path(spark, "alerts")
-    run_batches(feed(), batches.anomaly_handler(root, b.purchases_as_transactions), "alerts-job")
-    got = {r.anomaly_id for r in spark.read.parquet(f"{root}/alerts").collect()}
-    want = {r.anomaly_id for r in anomaly.alerts(anomaly.scored_signals(d.hourly_table(spark, SF))).collect()}
-    assert got == want
+    stream = feed() if split == "days" else interleaved(spark, SF)
+    run_batches(stream, batches.anomaly_handler(root, b.purchases_as_transactions), "alerts-job")
+    columns = ["anomaly_id", "store_id", "detected_at", "anomaly_type", "metric_value", "z_score"]
+    got = sorted(map(tuple, batches.current_alerts(spark, root).select(columns).collect()))
+    want = anomaly.alerts(anomaly.scored_signals(d.hourly_table(spark, SF))).select(columns)
+    assert got == sorted(map(tuple, want.collect())) and got
 
 
 def test_queue_over_batches(spark, feed):
