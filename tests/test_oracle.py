@@ -15,6 +15,8 @@ SAMPLE = (
     "identity_resolve", "scan_events_jsonl", "sink_upsert_sessions", "question_intent", "funnel_kpis", "stream_hourly",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+#: No row on the smallest table: its few events raise no such alert and link no such sale.
+EMPTY_ON_SMALLEST = {"conversion_drop", "traffic_drop", "stream_pos_link"}
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("DWELLGRID_ALL") else SAMPLE
 
 
@@ -25,7 +27,8 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_oracle(spark, con, name):
-    assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF) in (None, "empty result")
+    found = compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF)
+    assert found is None or (found == "empty result" and name in EMPTY_ON_SMALLEST)
 
 
 def test_every_oracle_has_a_query():
