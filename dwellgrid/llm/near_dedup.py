@@ -371,13 +371,15 @@ def decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows without near-duplicates: one row of each component, all wordless rows."""
-    found = decided(docs, id_col, text_col).where("kept").select(
-        F.col("id").alias("k_id"), F.col("raw").alias("k_raw"), F.col("node").isNull().alias("wordless")
-    ).distinct()
+    found = decided(docs, id_col, text_col).where("kept").groupBy(
+        F.col("id").alias("k_id"), F.col("raw").alias("k_raw")
+    ).agg(F.count("*").alias("copies"), F.bool_or(F.col("node").isNull()).alias("wordless"))
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("raw"),
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
     )
     stays = rows.join(found, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("raw") == F.col("k_raw")))
-    once = stays.where("not wordless").dropDuplicates(["id", "raw"])
-    return once.select("row.*").unionByName(stays.where("wordless").select("row.*"))
+    # only rows that repeat an id and its text meet again
+    again = (F.col("copies") > 1) & ~F.col("wordless")
+    once = stays.where(again).dropDuplicates(["id", "raw"])
+    return stays.where(~again).select("row.*").unionByName(once.select("row.*"))
