@@ -123,18 +123,27 @@ def suppress_open(found: DataFrame, open_alerts: DataFrame, seconds: int) -> Dat
     return found.join(recent, near, "left_anti").join(recent, same_hour, "left_anti")
 
 
-def dead_zones(zones: DataFrame, events: DataFrame, as_of: Column, cfg: AnomalyConfig = AnomalyConfig()) -> DataFrame:
-    """Display zones without a customer for the limit; zones never visited count as 999 minutes."""
-    watched = zones.where(~F.col("zone_type").isin("ENTRY", "BILLING")).select("store_id", "zone_id")
-    seen = (
+def zone_visits(events: DataFrame) -> DataFrame:
+    """Newest customer visit of every zone; the newest of several results is that of their events together."""
+    return (
         events.where(~F.col("is_staff") & F.col("event_type").isin("ZONE_ENTER", "ZONE_DWELL"))
         .groupBy("store_id", "zone_id").agg(F.max("ts").alias("last_event_at"))
     )
+
+
+def silent_zones(zones: DataFrame, seen: DataFrame, as_of: Column, cfg: AnomalyConfig = AnomalyConfig()) -> DataFrame:
+    """Display zones without a customer for the limit, by their newest visits; zones never visited count as 999 minutes."""
+    watched = zones.where(~F.col("zone_type").isin("ENTRY", "BILLING")).select("store_id", "zone_id")
     lag = seconds_between(as_of, F.col("last_event_at")) / 60
     rows = watched.join(seen, ["store_id", "zone_id"], "left").withColumn("lag_minutes", F.coalesce(lag, F.lit(999.0)))
     return rows.where(F.col("last_event_at").isNull() | (F.col("lag_minutes") > cfg.dead_zone_minutes))
 
 
+def dead_zones(zones: DataFrame, events: DataFrame, as_of: Column, cfg: AnomalyConfig = AnomalyConfig()) -> DataFrame:
+    """Display zones without a customer for the limit as of a time, from their events."""
+    return silent_zones(zones, zone_visits(events), as_of, cfg)
+
+
 def dead_zone_alerts(silent: DataFrame, as_of: Column, cfg: AnomalyConfig = AnomalyConfig()) -> DataFrame:
     kind = F.lit("DEAD_ZONE")
     stamp = F.date_format(as_of, "yyyy-MM-dd HH:mm:ss")

@@ -7,13 +7,13 @@ from dwellgrid.functions.scoring import seconds_between
 from dwellgrid.operators import identity, queueing
 from dwellgrid.plans import binding as b
 from dwellgrid.plans import derived as d
-from dwellgrid.plans.anomaly_queries import ALERTS, BASE, SIG
+from dwellgrid.plans.anomaly_queries import ALERTS, ANOM, BASE, SIG, rec
 from dwellgrid.plans.binding import EV, rnd, uuid5_sql, with_ctes
 from dwellgrid.plans.identity_queries import BEST, EMB, LINKS, ROOTS, TRK, recursive
 from dwellgrid.plans.movement_queries import GAPS, QUEUE
 from dwellgrid.plans.quality_queries import REPLAY, SEMKEY, replayed
 from dwellgrid.plans.registry import query
-from dwellgrid.session import scratch_path
+from dwellgrid.session import cut_lineage, scratch_path
 from dwellgrid.sources import readers, writers
 from dwellgrid.streaming import batches, flows, queue
 from dwellgrid.streaming.jobs import DELAY, rocksdb_state, run_available, run_batches, with_open_rest
@@ -115,10 +115,21 @@ def _(spark, sf):
 @query("stream_anomaly", with_ctes("SELECT anomaly_id, store_id, anomaly_type, detected_at, z_score FROM alerts", *BASE, SIG, ALERTS))
 def _(spark, sf):
     root = scratch_path(spark, "stream-anomaly")
-    run_batches(interleaved(spark, sf), batches.anomaly_handler(root, b.purchases_as_transactions), "stream-anomaly-job")
+    handler = batches.anomaly_handler(root, b.purchases_as_transactions, zones=cut_lineage(b.zones(spark, sf)))
+    run_batches(interleaved(spark, sf), handler, "stream-anomaly-job")
     return batches.current_alerts(spark, root).select("anomaly_id", "store_id", "anomaly_type", "detected_at", "z_score")
 
 
+@query("stream_anomaly_kept", rec("""SELECT anomaly_id, store_id, anomaly_type, detected_at, severity, metric_value, z_score, affected_zone_id
+  FROM an""", *ANOM))
+def _(spark, sf):
+    root = scratch_path(spark, "stream-kept")
+    handler = batches.anomaly_handler(root, b.purchases_as_transactions, zones=cut_lineage(b.zones(spark, sf)))
+    run_batches(b.events_stream(spark, sf), handler, "stream-kept-job")
+    return batches.current_anomalies(spark, root).select(
+        "anomaly_id", "store_id", "anomaly_type", "detected_at", "severity", "metric_value", "z_score", "affected_zone_id")
+
+
 @query("stream_freshness", with_ctes(f"""SELECT store_id, max(ts) AS last_event_at,
   {rnd('(epoch_us((SELECT max(ts) FROM ev)) - epoch_us(max(ts))) / CAST(1e6 AS DOUBLE)', 1)} AS lag_seconds FROM ev GROUP BY 1""", EV))
 def _(spark, sf):

@@ -65,13 +65,54 @@ def identity_handler(root: str, sightings_of: Callable[[DataFrame], DataFrame],
     return handle
 
 
-def anomaly_handler(root: str, transactions_of: Callable[[DataFrame], DataFrame], cfg: AnomalyConfig = AnomalyConfig()) -> Handler:
-    """Appends events, recomputes the touched days of the rollup and every alert that they can change.
+def _keep_unrepeated(touched: DataFrame, alerts: DataFrame, root: str, batch_id: int, cfg: AnomalyConfig) -> None:
+    """Rewrites ``root/kept``, the alerts left by the suppression of repeats, from the first touched day on.
+
+    Whether an alert is kept depends on earlier ones only: kept alerts before that day stay, and those within the
+    suppression time of it stand for all that came before."""
+    spark, first = touched.sparkSession, touched.agg(F.min("event_date")).scalar()
+    stored = alerts.where(F.col("event_date") >= first)
+    found = stored.where(F.col("anomaly_id").isNotNull())
+    if batch_id > 0:
+        reach = F.date_sub(first, -(-cfg.suppress_seconds // 86400))
+        before = spark.read.schema(alerts.schema).parquet(f"{root}/kept").where(F.col("anomaly_id").isNotNull())
+        found = found.unionByName(before.where((F.col("event_date") < first) & (F.col("event_date") >= reach)))
+    kept = anomaly.suppress_repeats(found, cfg).where(F.col("event_date") >= first)
+    days = stored.select("event_date").distinct()
+    overwrite_partitions(cut_lineage(kept.unionByName(days, allowMissingColumns=True)), f"{root}/kept", "event_date")
+
+
+def _add_dead_zones(batch: DataFrame, zones: DataFrame, as_of: Column, root: str, batch_id: int, cfg: AnomalyConfig) -> None:
+    """Adds the dead zones as of the newest time to ``root/dead``, unless a stored alert has the id or is still open.
+
+    ``root/visits`` carries the newest visit of every zone. Alerts have a folder per batch and are compared with those of
+    earlier batches only, so a repeated batch writes the same."""
+    spark, seen = batch.sparkSession, anomaly.zone_visits(batch)
+    if batch_id > 0:
+        carried = spark.read.schema(seen.schema).parquet(batch_path(f"{root}/visits", batch_id - 1))
+        seen = seen.unionByName(carried).groupBy("store_id", "zone_id").agg(F.max("last_event_at").alias("last_event_at"))
+    seen.write.mode("overwrite").parquet(batch_path(f"{root}/visits", batch_id))
+    seen = spark.read.schema(seen.schema).parquet(batch_path(f"{root}/visits", batch_id))
+    now = anomaly.dead_zone_alerts(anomaly.silent_zones(zones, seen, as_of, cfg), as_of, cfg).where(F.col("detected_at").isNotNull())
+    if batch_id > 0:
+        stored = spark.read.schema(now.schema).parquet(f"{root}/dead").where(F.col("batch") < batch_id).drop("batch")
+        recent = stored.where(F.col("detected_at") >= F.date_trunc("hour", as_of) - F.expr(f"interval {cfg.dead_zone_suppress_seconds} seconds"))
+        now = anomaly.suppress_open(now, recent, cfg.dead_zone_suppress_seconds).join(stored, "anomaly_id", "left_anti")
+    now.write.mode("overwrite").parquet(batch_path(f"{root}/dead", batch_id))
+
+
+def anomaly_handler(
+    root: str, transactions_of: Callable[[DataFrame], DataFrame], cfg: AnomalyConfig = AnomalyConfig(),
+    zones: DataFrame | None = None,
+) -> Handler:
+    """Appends events, recomputes the touched days of the rollup and every alert that they can change, suppresses repeats
+    and, for the given zones, adds the dead ones as of the newest time so far.
 
     An hour changes its own alerts and, as part of their baseline, those of the same hour on the following lookback days.
     Hourly rows and alerts are tables by day; a batch reads and rewrites the touched days and those after them within the
     lookback, so its work does not depend on the history, alerts of half-filled hours are taken back when the hour fills,
-    and a repeated batch writes the same. ``current_alerts`` reads the result."""
+    and a repeated batch writes the same. Dead zones are what was known at the end of a batch and are not taken back.
+    ``current_anomalies`` reads the result, ``current_alerts`` the scored alerts before suppression."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(
@@ -98,14 +139,24 @@ def anomaly_handler(root: str, transactions_of: Callable[[DataFrame], DataFrame]
         found = found.join(days, "event_date", "left_semi")
         # a day without alerts gets a row without id, so that its earlier alerts are overwritten
         overwrite_partitions(cut_lineage(found.unionByName(days, allowMissingColumns=True)), f"{root}/alerts", "event_date")
+        _keep_unrepeated(touched, spark.read.schema(found.schema).parquet(f"{root}/alerts"), root, batch_id, cfg)
+        if zones is not None:
+            _add_dead_zones(rows, zones, as_of, root, batch_id, cfg)
 
     return handle
 
 
 def current_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """Every scored alert, repeats included."""
     return spark.read.parquet(f"{root}/alerts").where(F.col("anomaly_id").isNotNull()).drop("event_date")
 
 
+def current_anomalies(spark: SparkSession, root: str) -> DataFrame:
+    """Scored alerts without suppressed repeats, and the dead zones; needs a handler with zones."""
+    kept = spark.read.parquet(f"{root}/kept").where(F.col("anomaly_id").isNotNull()).drop("event_date")
+    return kept.unionByName(spark.read.schema(kept.schema).parquet(f"{root}/dead").drop("batch"))
+
+
 def late_handler(root: str, delay_seconds: int = 7200) -> Handler:
     """Sends rows older than the watermark of the earlier batches to the repair path, the rest to the table."""
     def handle(batch: DataFrame, batch_id: int) -> None:

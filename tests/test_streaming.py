@@ -1,6 +1,7 @@
 """Streams in several micro-batches give the batch result."""
 
 import os
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,57 @@ def test_anomalies_over_batches(spark, feed, split):
     assert got == sorted(map(tuple, want.collect())) and got
 
 
+@pytest.mark.parametrize("split", ["one", "days", "interleaved"])
+def test_suppressed_alerts_and_dead_zones_over_batches(spark, feed, split):
+    root, zones, ev = scratch_path(spark, "kept"), b.zones(spark, SF), b.events(spark, SF)
+    seen, plain = [], batches.anomaly_handler(root, b.purchases_as_transactions, zones=zones)
+
+    def handle(batch, batch_id):
+        seen.append({r.event_id for r in batch.select("event_id").collect()})
+        plain(batch, batch_id)
+        plain(batch, batch_id)
+
+    streams = {"one": lambda: b.events_stream(spark, SF), "days": feed, "interleaved": lambda: interleaved(spark, SF)}
+    run_batches(streams[split](), handle, "kept-job")
+    columns = ["anomaly_id", "store_id", "detected_at", "anomaly_type", "metric_value", "z_score", "affected_zone_id"]
+    got = batches.current_anomalies(spark, root).select(columns).collect()
+    assert sorted(tuple(r) for r in got if r.anomaly_type != "DEAD_ZONE") == sorted(
+        map(tuple, anomaly.suppress_repeats(anomaly.alerts(anomaly.scored_signals(d.hourly_table(spark, SF)))).select(columns).collect()))
+
+    # the dead zones of every batch as of its newest time, without those open since the hour before
+    rows, known, stored = ev.collect(), set(), []
+    watched = [(z.store_id, z.zone_id) for z in zones.collect() if z.zone_type not in ("ENTRY", "BILLING")]
+    for part in seen:
+        known |= part
+        now = [r for r in rows if r.event_id in known]
+        as_of = max(r.ts for r in now)
+        since = as_of.replace(minute=0, second=0, microsecond=0) - timedelta(hours=1)
+        visits = {}
+        for r in now:
+            if not r.is_staff and r.event_type in ("ZONE_ENTER", "ZONE_DWELL"):
+                visits[r.store_id, r.zone_id] = max(r.ts, visits.get((r.store_id, r.zone_id), r.ts))
+        silent = [z for z in watched if z not in visits or as_of - visits[z] > timedelta(minutes=30)]
+        stored += [(*z, as_of) for z in silent if not any(s[:2] == z and s[2] >= since for s in stored)]
+    assert len(seen) == (1 if split == "one" else 3) and stored
+    assert sorted((r.store_id, r.affected_zone_id, r.detected_at) for r in got if r.anomaly_type == "DEAD_ZONE") == sorted(stored)
+
+
+def test_repeats_are_suppressed_across_batches(spark):
+    """Alerts of one store at 22, 23, 0, 1 and 4 o'clock: 22, 1 and 4 stay, whether the days come together or not."""
+    from dwellgrid.config import AnomalyConfig
+
+    root, hours = scratch_path(spark, "repeats"), [22, 23, 24, 25, 28]
+    rows = spark.createDataFrame([(str(h), h) for h in hours], "anomaly_id string, h int").select(
+        "anomaly_id", F.lit("S").alias("store_id"), F.lit("QUEUE_SPIKE").alias("anomaly_type"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("h") * 3600).alias("detected_at"))
+    rows = rows.withColumn("event_date", F.to_date("detected_at"))
+    first = rows.where(F.col("anomaly_id").cast("int") <= 23)
+    for batch_id, (days, known) in enumerate(((first, first), (rows.subtract(first), rows), (first, rows))):
+        batches._keep_unrepeated(days.select("event_date").distinct(), known, root, batch_id, AnomalyConfig())
+        got = {r.anomaly_id for r in spark.read.parquet(f"{root}/kept").where("anomaly_id IS NOT NULL").collect()}
+        assert got == ({"22"} if batch_id == 0 else {"22", "25", "28"})
+
+
 def test_queue_over_batches(spark, feed):
     with rocksdb_state(spark):
         out = run_available(queue.queue_abandons(feed()), "queue-test")
