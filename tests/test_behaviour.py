@@ -350,6 +350,35 @@ def test_long_conflict_chain_is_settled_in_one_pass(spark):
     assert got == {(i, i) for i in range(n)} | {(1000 + i, i) for i in range(3)}
 
 
+@pytest.mark.parametrize("kind", ["random", "chain", "dense"])
+def test_crowded_groups_are_never_one_table(tiny_groups, monkeypatch, kind):
+    """Groups above the bound give the serial result, and no task gets the pairs of one as a table."""
+    import random
+
+    from dwellgrid.operators import matching
+
+    rng, n = random.Random(5), 40
+    rows = {
+        "random": [("f", c, i, rng.choice([None, 0.1, 0.2, 0.3]), 0.5) for c in range(n) for i in rng.sample(range(n), 4)],
+        "chain": [("f", i, i - 1, 0.0, 0.5) for i in range(1, n)] + [("f", i, i, 1.0, 0.4) for i in range(n)],
+        "dense": [(f, c, i, float((c * i) % 7), 0.5) for f in ("f", "g") for c in range(20) for i in range(20)],
+    }[kind] + [("small", 1, 2, 0.0, 0.3)]
+    pairs = tiny_groups.createDataFrame(rows, "frame string, c int, item int, wish double, iou double")
+    asked = []
+    inner = matching._by_size
+    monkeypatch.setattr(matching, "_by_size", lambda *a: asked.append(inner(*a)) or asked[-1])
+    got = sorted((r.c, r.item) for r in matching.priority_match(pairs, ["frame"], "c", "item", ["c", "wish"], ["iou"]).collect())
+    want, chosen, taken = [], set(), set()
+    for f, c, i, wish, _ in sorted(rows, key=lambda r: (r[0], r[1], r[3] is None, r[3] or 0.0, r[2])):
+        if (f, c) not in chosen and (f, i) not in taken:
+            chosen.add((f, c))
+            taken.add((f, i))
+            want.append((c, i))
+    assert got == sorted(want)
+    assert 2 <= len(asked) <= 10  # rounds stay logarithmic
+    assert all(r["count"] <= 3 for fits, _ in asked for r in fits.groupBy("frame").count().collect())
+
+
 def test_stages_are_dropped(spark, tmp_path):
     from dwellgrid.session import cut_lineage, drop_stages
 
