@@ -86,6 +86,15 @@ def test_suppressed_alerts_and_dead_zones_over_batches(spark, feed, split):
     assert sorted((r.store_id, r.affected_zone_id, r.detected_at) for r in got if r.anomaly_type == "DEAD_ZONE") == sorted(stored)
 
 
+def test_interleaved_feed_keeps_rows_of_odd_ids(spark, tmp_path):
+    raw = b.table(spark, SF, "events").limit(60)
+    odd = raw.withColumn("event_id", F.when(F.col("event_id") % 3 == 0, -F.col("event_id")).when(F.col("event_id") % 3 == 1, F.col("event_id")))
+    odd.write.parquet(f"{tmp_path}/events.parquet")
+    sizes = {}
+    run_batches(interleaved(spark, str(tmp_path)), lambda batch, i: sizes.update({i: batch.count()}), "odd-job")
+    assert sum(sizes.values()) == 60 and len(sizes) == 3
+
+
 def test_repeats_are_suppressed_across_batches(spark):
     """Alerts of one store at 22, 23, 0, 1 and 4 o'clock: 22, 1 and 4 stay, whether the days come together or not."""
     from dwellgrid.config import AnomalyConfig
