@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, secret_scan, sharding, topk, url_filter
+from dwellgrid.llm import (
+    alignment, bpe, exact_dedup, language, mixing, near_dedup, quality, secret_scan, sharding, topk, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,6 +216,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(docs, language.fit_languages(docs))
 
 
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = [bpe.vocabulary_path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligned = alignment.align_documents(table(spark, sf_dir, "documents"), *files, digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
