@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgrid.llm import (
-    alignment, bpe, exact_dedup, language, mixing, near_dedup, quality, secret_scan, sharding, topk, url_filter,
+    alignment, bpe, exact_dedup, language, mixing, near_dedup, quality, secret_scan, sharding,
+    substring_dedup, topk, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,6 +224,31 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumnRenamed("groups", "groups_sha256")
 
 
+@query(
+    "op13_substring_dedup",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), s AS (
+      SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h
+      FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)
+    ), again AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS j FROM s JOIN again USING (h)),
+    kept AS (
+      SELECT r, count(*) FILTER (g.j IS NOT NULL) AS n_removed,
+        string_agg(word, ' ' ORDER BY e.j) FILTER (g.j IS NULL) AS text
+      FROM (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM d) e
+      LEFT JOIN gone g USING (r, j) GROUP BY r
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r)
+    """,
+)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
