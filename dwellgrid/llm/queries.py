@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgrid.llm import (
-    alignment, bpe, exact_dedup, language, mixing, near_dedup, quality, secret_scan, sharding,
+    alignment, bpe, exact_dedup, hard_negatives, language, mixing, near_dedup, quality, secret_scan, sharding,
     substring_dedup, topk, url_filter,
 )
 
@@ -217,6 +217,35 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(docs, language.fit_languages(docs))
 
 
+@query(
+    "op11_hard_negatives",
+    r"""
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), scored AS (
+      SELECT a.vec_id AS anchor_id, p.vec_id, a.label = p.label AS same, list_dot_product(a.e, p.e)::BIGINT AS score
+      FROM v a JOIN v p ON a.vec_id % 100 = 0 AND a.vec_id <> p.vec_id
+    ), positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id,
+      (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+      vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 @query("op12_alignment")
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = [bpe.vocabulary_path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
