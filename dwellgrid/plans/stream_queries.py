@@ -9,14 +9,14 @@ from dwellgrid.plans import binding as b
 from dwellgrid.plans import derived as d
 from dwellgrid.plans.anomaly_queries import ALERTS, ANOM, BASE, SIG, rec
 from dwellgrid.plans.binding import EV, rnd, uuid5_sql, with_ctes
-from dwellgrid.plans.identity_queries import BEST, EMB, LINKS, ROOTS, TRK, recursive
+from dwellgrid.plans.identity_queries import EMB, LINKS, ROOTS, fold_sql, recursive
 from dwellgrid.plans.movement_queries import GAPS, QUEUE
 from dwellgrid.plans.quality_queries import REPLAY, SEMKEY, replayed
 from dwellgrid.plans.registry import query
 from dwellgrid.session import cut_lineage, scratch_path
 from dwellgrid.sources import readers, writers
-from dwellgrid.streaming import batches, flows, queue
-from dwellgrid.streaming.jobs import DELAY, rocksdb_state, run_available, run_batches, with_open_rest
+from dwellgrid.streaming import batches, flows, identities, queue
+from dwellgrid.streaming.jobs import DELAY, continue_job, rocksdb_state, run_available, run_batches, with_open_rest
 
 def tail_start(spark, sf):
     """Start of the day before the final watermark's: everything older is closed."""
@@ -31,6 +31,19 @@ def interleaved(spark, sf, files=3):
     return b.bind_events(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*"))
 
 
+def arriving(spark, sf, parts=4):
+    """The events as a stream that grows: after each step the next stretch of time has arrived, in its own folder."""
+    path, raw = scratch_path(spark, "arriving"), b.table(spark, sf, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = raw.select(us.alias("us")).agg(
+        F.percentile_approx("us", [i / parts for i in range(1, parts)], 1000).alias("cuts")).first().cuts or []
+    edges = [None, *sorted(set(ends)), None]
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        inside = (F.lit(True) if low is None else us > low) & (F.lit(True) if high is None else us <= high)
+        raw.where(inside).write.parquet(f"{path}/{i}")
+        yield b.bind_events(spark.readStream.schema(raw.schema).parquet(f"{path}/*"))
+
+
 def tail(spark, sf):
     return b.events(spark, sf).where(F.col("ts") >= tail_start(spark, sf))
 
@@ -95,13 +108,19 @@ def _(spark, sf):
     return with_open_rest(closed, rest.select(*closed.columns), ["event_id"])
 
 
-@query("stream_identity", recursive("SELECT tracklet_id, store_id, visitor_id FROM ident JOIN trk USING (tracklet_id)", EV, EMB, TRK, BEST, LINKS, ROOTS))
+SEEN = """seen AS (SELECT store_id, camera_id, user_id AS track_id, event_id AS tracklet_id, ts AS first_ts, ts AS last_ts,
+  x1 AS fx1, y1 AS fy1, x1 AS lx1, y1 AS ly1, nm.v FROM ev LEFT JOIN nm ON nm.vec_id = ev.user_id)"""
+
+
+@query("stream_identity", recursive("SELECT tracklet_id, store_id, visitor_id FROM ident JOIN seen USING (tracklet_id, store_id)",
+                                    EV, EMB, SEEN, fold_sql("seen"), LINKS, ROOTS))
 def _(spark, sf):
-    root = scratch_path(spark, "stream-identity")
-    vectors = b.embeddings(spark, sf)
-    handler = batches.identity_handler(root, lambda rows: identity.tracklets(b.as_detections(rows), vectors))
-    run_batches(b.events_stream(spark, sf), handler, "stream-identity-job")
-    return spark.read.parquet(f"{root}/ids").select("tracklet_id", "store_id", "visitor_id")
+    root, vectors = scratch_path(spark, "stream-identity"), cut_lineage(b.embeddings(spark, sf))
+    for feed in arriving(spark, sf):  # the job is stopped after each part and taken up from its checkpoint
+        sightings = identity.as_sightings(b.as_detections(feed), vectors)
+        with rocksdb_state(spark):
+            out = continue_job(identities.identity_stream(sightings), root)
+    return out.where("event = 'seen'").select("tracklet_id", "store_id", identity.visitor_label(F.col("root")).alias("visitor_id"))
 
 
 @query("stream_dedup_semantic", with_ctes(f"SELECT DISTINCT {SEMKEY} AS dedup_key, event_id FROM replay", EV, REPLAY))

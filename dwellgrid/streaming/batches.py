@@ -1,4 +1,4 @@
-"""Streaming forms that run the batch operators on every micro-batch: identities, anomalies, late data."""
+"""Streaming forms that run the batch operators on every micro-batch: anomalies, late data."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.config import AnomalyConfig, ReidConfig
-from dwellgrid.operators import anomaly, identity, rollups, sessions
+from dwellgrid.config import AnomalyConfig
+from dwellgrid.operators import anomaly, rollups, sessions
 from dwellgrid.session import cut_lineage
 from dwellgrid.sources.writers import overwrite_partitions
 from dwellgrid.streaming.jobs import batch_path
@@ -29,42 +29,6 @@ def _keep_newest(batch: DataFrame, root: str, batch_id: int) -> None:
     newest.write.mode("overwrite").parquet(batch_path(f"{root}/progress", batch_id))
 
 
-def identity_handler(root: str, sightings_of: Callable[[DataFrame], DataFrame], cfg: ReidConfig = ReidConfig()) -> Handler:
-    """Resolves the tracklets of each batch against each other and those of the remembered time before.
-
-    Results go to ``root/ids``; ``root/recent`` carries the tracklets of the last two windows with the
-    visitor ids they got, so an identity keeps its id across batches."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = cut_lineage(sightings_of(batch))
-        carried = fresh.withColumn("visitor_id", F.lit(None).cast("string"))
-        if batch_id > 0:
-            carried = spark.read.schema(carried.schema).parquet(batch_path(f"{root}/recent", batch_id - 1))
-        else:
-            carried = carried.limit(0)
-        every = fresh.unionByName(carried.select(fresh.columns))
-        links = identity.identity_links(every, cfg)
-        old = carried.select("tracklet_id", F.col("visitor_id").alias("known"))
-        links = links.join(old, "tracklet_id", "left").withColumn(
-            "parent_id", F.when(F.col("known").isNull(), F.col("parent_id"))
-        )
-        roots = identity.resolve(links)
-        named = (
-            roots.join(old.withColumnRenamed("tracklet_id", "root"), "root", "left")
-            .select("tracklet_id", F.coalesce("known", "visitor_id").alias("visitor_id"))
-        )
-        tagged = cut_lineage(every.join(named, "tracklet_id"))
-        tagged.join(fresh.select("tracklet_id"), "tracklet_id", "left_semi").select(
-            "tracklet_id", "store_id", "first_ts", "last_ts", "visitor_id"
-        ).write.mode("overwrite").parquet(batch_path(f"{root}/ids", batch_id))
-        horizon = tagged.agg(F.max("last_ts")).scalar() - F.expr(f"interval {2 * cfg.window_seconds} seconds")
-        tagged.where(F.col("last_ts") >= horizon).select(*fresh.columns, "visitor_id").write.mode("overwrite").parquet(
-            batch_path(f"{root}/recent", batch_id)
-        )
-
-    return handle
-
-
 def _keep_unrepeated(touched: DataFrame, alerts: DataFrame, root: str, batch_id: int, cfg: AnomalyConfig) -> None:
     """Rewrites ``root/kept``, the alerts left by the suppression of repeats, from the first touched day on.
 

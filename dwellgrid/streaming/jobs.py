@@ -30,8 +30,13 @@ def rocksdb_state(spark: SparkSession):
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Processes everything available into a parquet sink (exactly once) and returns the sink as a table."""
+    return continue_job(stream, scratch_path(stream.sparkSession, label), mode)
+
+
+def continue_job(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Takes up the job whose sink and checkpoint lie below ``path``, processes what has arrived since, and returns the
+    whole sink."""
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
     job = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/table")
         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()

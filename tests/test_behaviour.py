@@ -258,12 +258,8 @@ def test_identity_cases(spark):
     assert ids["t0"] == ids["t1"] == ids["t3"] != ids["t2"]
     stats = identity.reid_stats(identity.identity_links(trk)).first()
     assert (stats.calls, stats.merges, stats.merge_rate, stats.identities) == (4, 2, 0.5, 2)
-    blocks, identity.BLOCK_ROWS = identity.BLOCK_ROWS, 2
-    try:
-        split = {r.tracklet_id: r.parent_id for r in identity.best_candidates(trk).collect()}
-    finally:
-        identity.BLOCK_ROWS = blocks
-    assert split == {r.tracklet_id: r.parent_id for r in identity.best_candidates(trk).collect()}
+    parents = {r.tracklet_id: r.parent_id for r in identity.best_candidates(identity.identity_links(trk)).collect()}
+    assert parents == {"t1": "t0", "t3": "t0"}
 
 
 def test_heatmap_and_kpis(spark):

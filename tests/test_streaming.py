@@ -6,7 +6,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from dwellgrid.operators import anomaly, identity, queueing, rollups, sessions
+from dwellgrid.operators import anomaly, queueing, rollups, sessions
 from dwellgrid.plans import binding as b
 from dwellgrid.plans import derived as d
 from dwellgrid.plans.stream_queries import interleaved
@@ -30,16 +30,6 @@ def feed(spark):
         spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*"))
 
 
-def test_identities_over_batches(spark, feed):
-    root, vectors = scratch_path(spark, "ids"), b.embeddings(spark, SF)
-    handler = batches.identity_handler(root, lambda rows: identity.tracklets(b.as_detections(rows), vectors))
-    run_batches(feed(), handler, "ids-job")
-    got = sorted(map(tuple, spark.read.parquet(f"{root}/ids").select("tracklet_id", "visitor_id").collect()))
-    trk = identity.tracklets(b.detections(spark, SF), vectors)
-    want = identity.resolve(identity.identity_links(trk)).select("tracklet_id", "visitor_id")
-    assert got == sorted(map(tuple, want.collect()))
-
-
 @pytest.mark.parametrize("split", ["days", "interleaved"])
 def test_anomalies_over_batches(spark, feed, split):
     root = scratch_path(spark, "alerts")
