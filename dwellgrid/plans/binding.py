@@ -116,6 +116,14 @@ def as_detections(bound: DataFrame) -> DataFrame:
     )
 
 
+def camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an untracked detection on a camera with one frame a minute; less than half are sure."""
+    return events(spark, sf_dir).select(
+        "store_id", "camera_id", F.floor(F.unix_seconds("ts") / 60).alias("frame_idx"), F.col("event_id").alias("detection_id"),
+        "bbox", (F.lit(0.35) + F.col("k") / 100 * 0.45).alias("confidence"),
+    )
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), "embedding")
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.config import QueueConfig
 from dwellgrid.fixed_values import LAYOUT
-from dwellgrid.operators import queueing, rollups, spatial, staff, trajectory
+from dwellgrid.operators import queueing, rollups, spatial, staff, tracking, trajectory
 from dwellgrid.plans import binding as b
 from dwellgrid.plans.binding import EV, ZN, rnd, with_ctes, xsum
 from dwellgrid.plans.registry import query
@@ -49,29 +49,55 @@ def _(spark, sf):
     return spatial.consecutive_iou(b.detections(spark, sf)).select("detection_id", F.round("iou", 6).alias("iou"))
 
 
-GREEDY = """dt AS MATERIALIZED (SELECT store_id, camera_id, epoch_us(ts) // 3600000000 AS fr, event_id, x1, y1, confidence FROM ev),
-opt AS MATERIALIZED (SELECT * FROM (SELECT store_id, camera_id, fr, event_id, prev_id, i / (40000 - i) AS iou, confidence FROM (
-  SELECT d.store_id, d.camera_id, d.fr, d.event_id, d.confidence, p.event_id AS prev_id,
-    greatest(0, 100 - abs(d.x1 - p.x1)) * greatest(0, 200 - abs(d.y1 - p.y1)) AS i FROM dt d JOIN dt p
-    ON p.store_id = d.store_id AND p.camera_id = d.camera_id AND p.fr = d.fr - 1))
-  WHERE iou >= 0.3),
-ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id, fr ORDER BY confidence < 0.6, confidence DESC, event_id) AS n
-  FROM (SELECT DISTINCT store_id, camera_id, fr, event_id, confidence FROM opt)),
-gm AS (SELECT store_id, camera_id, fr, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS event_id,
-    CAST(NULL AS VARCHAR) AS prev_id, CAST(NULL AS DOUBLE) AS iou FROM (SELECT DISTINCT store_id, camera_id, fr FROM ord)
-  UNION ALL SELECT store_id, camera_id, fr, n + 1, CASE WHEN prev_id IS NULL THEN taken ELSE list_append(taken, prev_id) END, event_id, prev_id, iou FROM (
-    SELECT g.store_id, g.camera_id, g.fr, g.n, any_value(g.taken) AS taken, any_value(d.event_id) AS event_id,
-      arg_min(o.prev_id, (-o.iou, o.prev_id)) FILTER (NOT list_contains(g.taken, o.prev_id)) AS prev_id,
-      max(o.iou) FILTER (NOT list_contains(g.taken, o.prev_id)) AS iou
-    FROM gm g JOIN ord d ON d.store_id = g.store_id AND d.camera_id = g.camera_id AND d.fr = g.fr AND d.n = g.n + 1
-    JOIN opt o ON o.store_id = d.store_id AND o.camera_id = d.camera_id AND o.fr = d.fr AND o.event_id = d.event_id
-    GROUP BY g.store_id, g.camera_id, g.fr, g.n))"""
-
-
-@query("frame_iou_match", with_ctes(f"SELECT event_id AS detection_id, prev_id, {rnd('iou', 6)} AS iou FROM gm WHERE prev_id IS NOT NULL", EV, GREEDY).replace("WITH ", "WITH RECURSIVE ", 1))
-def _(spark, sf):
-    out = spatial.frame_iou_match(b.detections(spark, sf))
-    return out.withColumn("iou", F.round("iou", 6))
+TRACKS = """cf AS (SELECT store_id, camera_id, epoch_us(ts) // 60000000 AS fr, event_id, x1, y1,
+  CAST(0.35 AS DOUBLE) + CAST(k AS DOUBLE) / 100 * CAST(0.45 AS DOUBLE) AS confidence FROM ev),
+turns AS (SELECT *, confidence >= CAST(0.6 AS DOUBLE) AS sure, row_number() OVER (PARTITION BY store_id, camera_id
+  ORDER BY fr, confidence < CAST(0.6 AS DOUBLE), CASE WHEN confidence >= CAST(0.6 AS DOUBLE) THEN -confidence END, event_id) AS rn FROM cf),
+live AS (
+  SELECT DISTINCT store_id, camera_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS fr, CAST(NULL AS VARCHAR) AS event_id,
+    CAST(NULL AS VARCHAR) AS root, CAST(NULL AS VARCHAR) AS how, CAST(NULL AS DOUBLE) AS iou,
+    CAST([] AS STRUCT(root VARCHAR, hits BIGINT, last BIGINT, m BIGINT, x DOUBLE, y DOUBLE)[]) AS st FROM cf
+  UNION ALL
+  SELECT store_id, camera_id, rn, fr, event_id, found, how, CASE WHEN how = 'matched' THEN best.iou END,
+    list_concat(list_transform(st, lambda t: CASE WHEN how <> 'matched' OR t.root <> found THEN t
+        ELSE struct_pack(root := t.root, hits := t.hits + 1, last := fr, m := fr, x := x1, y := y1) END),
+      CASE WHEN how = 'opened' THEN [struct_pack(root := event_id, hits := CAST(1 AS BIGINT), last := fr, m := CAST(-1 AS BIGINT), x := x1, y := y1)] ELSE [] END)
+  FROM (
+    SELECT *, CASE WHEN best.iou >= CAST(0.3 AS DOUBLE) THEN best.root WHEN sure THEN event_id END AS found,
+      CASE WHEN best.iou >= CAST(0.3 AS DOUBLE) THEN 'matched' WHEN sure THEN 'opened' ELSE 'discarded' END AS how
+    FROM (
+      SELECT *, list_filter(free, lambda t: t.iou = list_max(list_transform(free, lambda u: u.iou)))[1] AS best FROM (
+        SELECT *, list_transform(list_filter(st, lambda t: t.m <> fr AND (sure OR (t.hits >= 5 AND fr - 1 > t.last))),
+          lambda t: struct_pack(root := t.root, iou := greatest(0, 100 - abs(x1 - t.x)) * greatest(0, 200 - abs(y1 - t.y))
+            / (40000 - greatest(0, 100 - abs(x1 - t.x)) * greatest(0, 200 - abs(y1 - t.y))))) AS free
+        FROM (
+          SELECT d.*, list_filter(l.st, lambda t: d.fr - 1 - t.last <= 90) AS st
+          FROM live l JOIN turns d ON d.store_id = l.store_id AND d.camera_id = l.camera_id AND d.rn = l.rn + 1))))),
+named AS (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY rn) AS track_id FROM live WHERE how = 'opened')"""
+
+
+def tracks_sql(body: str) -> str:
+    return with_ctes(body, EV, TRACKS).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("frame_iou_match", tracks_sql(f"""SELECT l.event_id AS detection_id, n.track_id, l.how, {rnd('l.iou', 6)} AS iou
+  FROM live l LEFT JOIN named n ON n.store_id = l.store_id AND n.camera_id = l.camera_id AND n.root = l.root WHERE l.rn > 0"""))
+def _(spark, sf):
+    out = tracking.track_detections(b.camera_frames(spark, sf))
+    return out.select("detection_id", "track_id", "how", F.round("iou", 6).alias("iou"))
+
+
+@query("live_track_states", tracks_sql(f"""SELECT store_id, camera_id, track_id, first_frame, last_frame, hits, avg_confidence,
+  CASE WHEN feed - last_frame > 90 THEN 'DELETED' WHEN hits >= 5 AND feed > last_frame THEN 'LOST' WHEN hits >= 5 THEN 'CONFIRMED'
+    ELSE 'TENTATIVE' END AS state FROM (
+  SELECT l.store_id, l.camera_id, n.track_id, min(l.fr) AS first_frame, max(l.fr) AS last_frame, count(*) AS hits,
+    {rnd(xsum('c.confidence') + ' / count(*)', 6)} AS avg_confidence
+  FROM live l JOIN named n ON n.store_id = l.store_id AND n.camera_id = l.camera_id AND n.root = l.root JOIN cf c ON c.event_id = l.event_id
+  GROUP BY 1, 2, 3) JOIN (SELECT store_id, camera_id, max(fr) AS feed FROM cf GROUP BY 1, 2) USING (store_id, camera_id)"""))
+def _(spark, sf):
+    frames = b.camera_frames(spark, sf)
+    out = tracking.track_table(tracking.track_detections(frames), frames)
+    return out.withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 @query("predict_position", with_ctes("""SELECT detection_id, coalesce(x1 + (x1 - px1), x1) AS x1, coalesce(y1 + (y1 - py1), y1) AS y1,

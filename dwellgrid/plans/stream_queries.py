@@ -112,7 +112,7 @@ SEEN = """seen AS (SELECT store_id, camera_id, user_id AS track_id, event_id AS
   x1 AS fx1, y1 AS fy1, x1 AS lx1, y1 AS ly1, nm.v FROM ev LEFT JOIN nm ON nm.vec_id = ev.user_id)"""
 
 
-@query("stream_identity", recursive("SELECT tracklet_id, store_id, visitor_id FROM ident JOIN seen USING (tracklet_id, store_id)",
+@query("stream_identity", recursive("SELECT tracklet_id, store_id, visitor_id FROM ident JOIN seen USING (tracklet_id)",
                                     EV, EMB, SEEN, fold_sql("seen"), LINKS, ROOTS))
 def _(spark, sf):
     root, vectors = scratch_path(spark, "stream-identity"), cut_lineage(b.embeddings(spark, sf))
