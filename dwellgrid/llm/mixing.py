@@ -23,7 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.text import SPACES, WORDS
+from dwellgrid.llm.text import WORDS
+from dwellgrid.operators.ordered import OrderedRows
 from dwellgrid.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -101,39 +102,36 @@ def fair_queue(
 
 def mixed_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[float] = WEIGHTS, passes: int = PASSES, length_col: str = "n_chars",
+    weights: Sequence[float] = WEIGHTS, passes: int = PASSES,
 ) -> DataFrame:
     """The mix itself: the input rows, each as often as it is taken, range-sorted by finish time.
 
-    A copy of which only some words are taken keeps its text up to the last of them, and its length column follows.
-    Rows that agree in id, source and size get equal shares.
+    Texts stay whole: the one document of a source that is in service at the closing time comes once more if at least
+    half of it is taken, so a source misses its target by at most half a document. Rows that agree in id, source and size
+    are taken as often as planned for them together, those of smaller text hashes first.
     """
-    plan = fair_queue(docs, id_col, text_col, source_col, weights, passes).where("taken > 0")
-    shares = plan.groupBy(
-        F.col(id_col).alias("k_id"), F.col(source_col).alias("k_source"), F.col("size").alias("k_size")
-    ).agg(
-        F.floor(F.sum("taken") / F.count("*")).cast("long").alias("taken"), F.min("finish").alias("finish"),
-        F.min("lap").alias("lap"),
+    plan = fair_queue(docs, id_col, text_col, source_col, weights, passes).where("size > 0")
+    copies = F.floor(F.col("taken") / F.col("size")) + F.when(2 * (F.col("taken") % F.col("size")) >= F.col("size"), 1).otherwise(0)
+    shares = cut_lineage(
+        plan.groupBy(F.col(id_col).alias("k_id"), F.col(source_col).alias("k_source"), F.col("size").alias("k_size")).agg(
+            F.min(copies).alias("least"), F.sum(copies).alias("total"), F.count("*").alias("n"),
+            F.min("finish").alias("finish"), F.min("lap").alias("lap"),
+        ).where("total > 0").withColumn("extra", F.col("total") - F.col("least") * F.col("n"))
     )
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.col("row").getField(text_col)
-    rows = rows.withColumn("size", word_count(text)).where("size > 0")
-    rows = rows.join(
+    planned = rows.withColumn("size", word_count(text)).join(
         shares,
         F.col("row").getField(id_col).eqNullSafe(F.col("k_id")) & (F.col("size") == F.col("k_size"))
         & F.col("row").getField(source_col).cast("string").eqNullSafe(F.col("k_source")),
-    ).where("taken > 0")
-    rows = rows.withColumn("lap_no", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
-    words = F.least("size", F.col("taken") - F.col("lap_no") * F.col("size"))
-    each_word = F.regexp_extract_all(text, F.lit(SPACES + "*" + WORDS), F.lit(0))
-    cut = F.when(words < F.col("size"), F.array_join(F.slice(each_word, F.lit(1), words.cast("int")), ""))
-    rows = rows.withColumn("cut", cut).withColumn("due", F.col("finish") + F.col("lap_no") * F.col("lap"))
-    out = []
-    for field in docs.schema.fields:
-        value = F.col("row").getField(field.name)
-        if field.name == text_col:
-            value = F.coalesce(F.col("cut"), value)
-        elif field.name == length_col:
-            value = F.when(F.col("cut").isNull(), value).otherwise(F.length("cut").cast(field.dataType))
-        out.append(value.alias(field.name))
-    return rows.repartitionByRange("due").sortWithinPartitions("due").select(*out)
+    )
+    # rows of one id, source and size follow each other, so only the few groups at a closing point are taken unevenly
+    even = planned.where("extra = 0").withColumn("times", F.col("least"))
+    if not shares.where("extra > 0").isEmpty():
+        apart = planned.where("extra > 0").withColumn("group", F.xxhash64("k_id", "k_source", "k_size"))
+        numbered = OrderedRows.of(apart.withColumn("hash", F.xxhash64(text)), ["group"], ["hash"]).row_number("place").result()
+        times = F.col("least") + F.when(F.col("place") <= F.col("extra"), 1).otherwise(0)
+        even = even.unionByName(numbered.withColumn("times", times).select(even.columns))
+    laps = F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("int")))
+    mixed = even.where("times > 0").withColumn("lap_no", laps).withColumn("due", F.col("finish") + F.col("lap_no") * F.col("lap"))
+    return mixed.repartitionByRange("due").sortWithinPartitions("due").select("row.*")

@@ -51,6 +51,7 @@ FINE = 1024
 FINE_SIGMAS = 4.5
 BLOCK = 512
 BROADCAST_NODES = 500_000
+LINKS_PER_TASK = 500_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -221,8 +222,41 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) of a task as links of each node to the least node it is connected with."""
+    ends: list[list[np.ndarray]] = [[], []]
+    for batch in batches:
+        for side, column in zip(ends, ("a", "b")):
+            side.append(np.frombuffer(b"".join(batch.column(column).to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64))
+    if not ends[0]:
+        return
+    packed = np.concatenate([*ends[0], *ends[1]])
+    order = np.lexsort((packed[:, 1], packed[:, 0]))
+    new = np.concatenate(([True], (packed[order][1:] != packed[order][:-1]).any(axis=1)))
+    number = np.empty(len(packed), np.int64)
+    number[order] = np.cumsum(new) - 1
+    nodes = packed[order][new]
+    a, b = np.split(number, 2)
+    least = np.arange(len(nodes))
+    while (least[a] != least[b]).any():
+        low, high = np.minimum(least[a], least[b]), np.maximum(least[a], least[b])
+        np.minimum.at(least, high, low)
+        while (least[least] != least).any():
+            least = least[least]
+    moved = np.flatnonzero(least != np.arange(len(nodes)))
+    for begin in range(0, len(moved), 1 << 16):
+        part = moved[begin:begin + (1 << 16)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([n.tobytes() for n in nodes[rows].astype(">u8")], pa.binary()) for rows in (part, least[part])],
+            ["a", "b"],
+        )
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all linked nodes from links (a, b): alternating stars, each round written once."""
+    """(node, root) of all linked nodes from links (a, b) of 16-byte nodes.
+
+    Tasks of up to ``LINKS_PER_TASK`` links contract what they hold, without a shuffle; one task finishes few links.
+    More go through alternating stars between the contractions until nothing changes; each round is written once."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -236,11 +270,13 @@ def components(links: DataFrame) -> DataFrame:
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     last = mark(edges)
     while last[0]:
-        edges = cut_lineage(star(star(edges, True), False))
-        if (now := mark(edges)) == last:
+        tasks = -(-last[0] // LINKS_PER_TASK)
+        edges = edges.coalesce(tasks).mapInArrow(contracted, "a binary, b binary")
+        edges = cut_lineage(edges if tasks == 1 else star(star(edges, True), False))
+        if tasks == 1 or (now := mark(edges)) == last:
             break
         last = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -150,6 +150,29 @@ def water_level(sizes, weights, passes=3):
     return target
 
 
+def assert_mixed_as_planned(mix, plan, docs):
+    """Whole input rows only; each source gives its planned words but for half a document."""
+    inputs = {tuple(r) for r in docs.collect()}
+    found = [tuple(r) for r in mix.collect()]
+    assert set(found) <= inputs
+    at = docs.columns.index("source"), docs.columns.index("text")
+    words, planned, largest = collections.Counter(), collections.Counter(), collections.Counter()
+    for row in found:
+        words[row[at[0]]] += len(row[at[1]].encode().split())
+    for r in plan:
+        planned[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+    assert all(abs(words[s] - planned[s]) <= largest[s] / 2 for s in planned)
+
+
+@pytest.mark.parametrize("ids", ["none", "few", "own"])
+def test_mix_takes_what_it_plans(spark, ids):
+    of = {"none": lambda i: None, "few": lambda i: i % 3, "own": lambda i: i}[ids]
+    rows = [(of(i), f"{i} " + "word " * 9, "abc"[0 if i < 100 else 1 if i < 300 else 2]) for i in range(500)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    assert_mixed_as_planned(mixing.mixed_documents(docs), mixing.fair_queue(docs).collect(), docs)
+
+
 def test_mix_meets_its_targets(spark):
     rows = [(i if i % 11 else None, sentence(i, 1 + (i * i) % 90) if i % 13 else None,
              None if i % 17 == 0 else ["tiny", "big", "mid", "Upper", "é"][0 if i % 40 == 0 else 1 + i % 4]) for i in range(400)]
@@ -171,8 +194,7 @@ def test_mix_meets_its_targets(spark):
     assert plain(mixing.fair_queue(docs.repartition(7)).select(columns)) == plain(mixing.fair_queue(docs).select(columns))
     mix = mixing.mixed_documents(docs)
     assert mix.columns == docs.columns
-    words = mix.select("source", mixing.word_count(F.col("text")).alias("n"), (F.col("n_chars") == F.length("text")).alias("ok")).collect()
-    assert all(r.ok for r in words) and abs(sum(r.n for r in words) - sum(size_of.values())) <= len(order) + 3
+    assert_mixed_as_planned(mix, got, docs)
     assert mixing.fair_queue(no_documents(spark)).count() == mixing.mixed_documents(no_documents(spark)).count() == 0
 
 
@@ -182,3 +204,15 @@ def test_mix_of_odd_documents(spark):
     assert mixing.mixed_documents(docs).columns == docs.columns
     empty = docs.withColumn("text", F.lit(None).cast("string"))
     assert {(r.target, r.taken) for r in mixing.fair_queue(empty).collect()} == {(0.0, 0)}
+
+
+@pytest.mark.parametrize("per_task", [500_000, 7])
+def test_components_of_chains_and_stars(spark, monkeypatch, per_task):
+    monkeypatch.setattr(near_dedup, "LINKS_PER_TASK", per_task)
+    node = lambda i: hashlib.md5(str(i).encode()).digest()
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (300, 300), (203, 202), (202, 200)]
+    rows = spark.createDataFrame([(node(a), node(b)) for a, b in links], "a binary, b binary").repartition(6)
+    groups = [list(range(41)), list(range(100, 130)), [200, 201, 202, 203]]
+    want = {node(i): min(map(node, g)) for g in groups for i in g}
+    assert {bytes(r.node): bytes(r.root) for r in near_dedup.components(rows).collect()} == want
+    assert near_dedup.components(rows.limit(0)).count() == 0
