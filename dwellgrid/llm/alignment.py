@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 from dwellgrid.llm.text import bounded_batches, portions
 from dwellgrid.session import cut_lineage
 
-BLOCK_BYTES = 2 << 20
-LEXICON_BYTES = 64 << 20
+BLOCK_BYTES = 1 << 20
+LEXICON_BYTES = 40 << 20
 SPACE_MARK = "▁"
 CUT = re.compile(r"(?<=\S) (?=\S)")
+JOINED = 2000  # parts that are encoded in one call
 BLOCK_BITS = 32  # blocks of one task
 ID_BITS = 20  # ids of either vocabulary
 
@@ -83,23 +85,48 @@ class Tokenizers:
 
     def parts(self, text: str) -> list[str]:
         """Pieces that both tokenizers encode on their own; each stands for a space and itself."""
-        return CUT.split(text) if self.cuts else [text]
+        if not self.cuts:
+            return [text]
+        words = text.split()
+        plain = len(words) == text.count(" ") + 1 and not text.startswith(" ") and not text.endswith(" ")
+        return words if plain and len(text) == sum(map(len, words)) + len(words) - 1 else CUT.split(text)
 
-    def encode(self, parts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+    def encode(self, parts: list[str]) -> "Encoded":
         """Ids of A and ids of B, each with its sizes per part, and whether both spell space + part."""
         a = flattened([e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)])
         b = flattened(self.b.encode(parts, num_threads=1))
-        want = [b" " + p.encode() for p in parts]
-        sizes, whole = np.fromiter(map(len, want), np.int64, len(want)), b"".join(want)
         good = np.ones(len(parts), bool)
-        for (ids, counts), spelled, lengths in ((a, self.a_bytes, self.a_lengths), (b, self.b_bytes, self.b_lengths)):
-            owner = np.repeat(np.arange(len(parts)), counts)
-            same_sizes = np.array_equal(np.bincount(owner, lengths[ids], len(parts)), sizes)
-            names = [spelled[i] for i in ids.tolist()]
-            if not same_sizes or b"".join(names) != whole:  # equal in all and in each length would be equal in each
-                ends = np.cumsum(counts).tolist()
-                good &= [b"".join(names[e - n:e]) == w for e, n, w in zip(ends, counts.tolist(), want)]
-        return a, b, good
+        for (ids, counts), spelled in ((a, self.a_bytes), (b, self.b_bytes)):
+            names, ends = [spelled[i] for i in ids.tolist()], np.cumsum(counts).tolist()
+            good &= [b"".join(names[e - n:e]) == b" " + p.encode() for e, n, p in zip(ends, counts.tolist(), parts)]
+        return Encoded(a, b, good)
+
+    def encode_joined(self, parts: list[str]) -> "Encoded":
+        """The same for parts that neither start nor end with white space: many in one call, cut at their ends."""
+        whole = " ".join(parts)
+        want = (" " + whole).encode()
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        sides = []
+        for ids, spelled, lengths in (
+            (self.a.encode(" " + whole, add_special_tokens=False).ids, self.a_bytes, self.a_lengths),
+            (self.b.encode(whole), self.b_bytes, self.b_lengths),
+        ):
+            ids = np.array(ids, np.int32)
+            token_ends = np.cumsum(lengths[ids])
+            last = np.minimum(np.searchsorted(token_ends, ends), len(ids) - 1)
+            if b"".join([spelled[i] for i in ids.tolist()]) != want or (token_ends[last] != ends).any():
+                return self.encode(parts)
+            sides.append((ids, np.diff(last, prepend=-1)))
+        return Encoded(*sides, np.ones(len(parts), bool))
+
+
+@dataclass
+class Encoded:
+    """Ids and sizes per part of both sides, and which parts both sides spell."""
+
+    a: tuple[np.ndarray, np.ndarray]
+    b: tuple[np.ndarray, np.ndarray]
+    good: np.ndarray
 
 
 def flattened(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,13 +170,16 @@ class Lexicon:
         if self.held > self.bound:
             self.clear()
         new = [p for p in dict.fromkeys(parts) if p not in self.numbers]
+        plain = [p for p in new if p == p.strip() and p] if self.tokenizers.cuts else []
+        odd = new if not plain else [p for p in new if p != p.strip() or not p]
+        found = [self.tokenizers.encode_joined(plain[i:i + JOINED]) for i in range(0, len(plain), JOINED)]
+        found += [self.tokenizers.encode(odd)] if odd else []
         if new:
-            a, b, good = self.tokenizers.encode(new)
-            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
-            self.a.add(*a)
-            self.b.add(*b)
-            self.good = np.concatenate([self.good, good])
-            self.held += sum(map(len, new)) + 150 * len(new) + 4 * len(a[0]) + 4 * len(b[0])
+            self.numbers.update(zip(plain + odd, range(len(self.numbers), len(self.numbers) + len(new))))
+            self.a.add(*(np.concatenate(x) for x in zip(*(f.a for f in found))))
+            self.b.add(*(np.concatenate(x) for x in zip(*(f.b for f in found))))
+            self.good = np.concatenate([self.good, *(f.good for f in found)])
+            self.held += sum(map(len, new)) + 150 * len(new) + 4 * sum(len(f.a[0]) + len(f.b[0]) for f in found)
         return np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts))
 
 
@@ -205,7 +235,7 @@ class Speller:
         return out
 
     def text(self, codes: np.ndarray) -> str:
-        return "".join([self.names[c] for c in codes.tolist()])[:-1]
+        return "".join(map(self.names.__getitem__, codes.tolist()))[:-1]
 
 
 def sums_by_doc(values: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
