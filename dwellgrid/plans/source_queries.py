@@ -42,6 +42,42 @@ def _(spark, sf):
     return readers.read_events_json(spark, path).select(*WIRE_COLS)
 
 
+def damaged_lines(spark, sf):
+    """The events as lines of which some are cut off, mistyped, incomplete or against a rule."""
+    ev = b.events(spark, sf).withColumn("dwell_ms", F.lit(0)).withColumn("store_id", F.when(F.col("k") != 94, F.col("store_id")))
+    ev = ev.withColumn("confidence", F.when(F.col("k") == 95, 1.7).when(F.col("k") != 90, F.col("confidence")))
+    ev = ev.withColumn("event_type", F.when(F.col("k") == 96, "INVALID_TYPE").otherwise(F.col("event_type")))
+    ev = ev.withColumn("metadata_json", F.when(F.col("k") == 89, "[1]").otherwise(F.col("metadata_json")))
+    lines, text = writers.event_lines(ev, "k"), F.col("value")
+    broken = (
+        F.when(F.col("k") == 91, F.expr("substr(value, 1, length(value) - 5)"))
+        .when(F.col("k") == 92, F.regexp_replace(text, '"confidence":[0-9.]+', '"confidence":"high"'))
+        .when(F.col("k") == 93, F.concat(F.lit("["), text, F.lit("]")))
+        .when(F.col("k") == 97, F.regexp_replace(text, '"timestamp":"[^"]+"', '"timestamp":"yesterday"'))
+        .otherwise(text)
+    )
+    return lines.select(broken.alias("value"))
+
+
+DAMAGE = """SELECT event_id, CASE WHEN k IN (91, 92, 93) THEN 'unreadable' WHEN k = 94 THEN 'store_id' WHEN k = 95 THEN 'confidence'
+  WHEN k = 96 THEN 'event_type' WHEN k = 97 THEN 'timestamp' WHEN k = 89 THEN 'metadata' ELSE '' END AS problems FROM ev"""
+
+
+def told_apart(events, turned_away):
+    """Every line once: good ones by their event, the others by the id that their text still shows."""
+    raw_id = F.regexp_extract("raw", '"event_id":"([^"]+)"', 1)
+    return events.select("event_id", F.lit("").alias("problems")).unionByName(
+        turned_away.select(raw_id.alias("event_id"), F.array_join("problems", ",").alias("problems")))
+
+
+@query("wire_quarantine", with_ctes(DAMAGE, EV))
+def _(spark, sf):
+    path = scratch_path(spark, "damaged")
+    damaged_lines(spark, sf).write.text(path)
+    checked = readers.checked_lines(readers.read_event_lines(spark, path))
+    return told_apart(readers.good_events(checked), readers.quarantined(checked))
+
+
 @query("sink_events_jsonl", with_ctes("""SELECT event_id, event_type, zone_id, is_staff, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS stamp
   FROM ev""", EV))
 def _(spark, sf):

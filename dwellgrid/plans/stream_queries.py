@@ -13,6 +13,7 @@ from dwellgrid.plans.identity_queries import EMB, LINKS, ROOTS, fold_sql, recurs
 from dwellgrid.plans.movement_queries import GAPS, QUEUE
 from dwellgrid.plans.quality_queries import REPLAY, SEMKEY, replayed
 from dwellgrid.plans.registry import query
+from dwellgrid.plans.source_queries import DAMAGE, damaged_lines, told_apart
 from dwellgrid.session import cut_lineage, scratch_path
 from dwellgrid.sources import readers, writers
 from dwellgrid.streaming import batches, flows, identities, queue
@@ -58,6 +59,15 @@ def _(spark, sf):
     return run_available(clean.select("event_id", "store_id", "event_type", "ts"), "stream-ingest")
 
 
+@query("stream_quarantine", with_ctes(DAMAGE, EV))
+def _(spark, sf):
+    feed, root = scratch_path(spark, "damaged-feed"), scratch_path(spark, "stream-quarantine")
+    damaged_lines(spark, sf).repartition(4).write.text(feed)
+    lines = readers.stream_event_lines(spark, feed, files_per_trigger=1)
+    run_batches(lines, batches.wire_handler(root), "stream-quarantine-job")
+    return told_apart(spark.read.parquet(f"{root}/events"), spark.read.parquet(f"{root}/quarantine"))
+
+
 @query("stream_hourly", with_ctes(f"""SELECT store_id, date_trunc('hour', ts) AS hour_bucket, count(DISTINCT session_name) AS active_sessions
   FROM ev WHERE NOT is_staff GROUP BY 1, 2""", EV))
 def _(spark, sf):

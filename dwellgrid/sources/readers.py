@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellgrid.fixed_values import EVENT_TYPES
 from dwellgrid.functions.hashing import uuid5
-from dwellgrid.operators.quality import parse_utc
+from dwellgrid.operators.quality import field_errors, parse_utc
 
 EVENT_SCHEMA = (
     "event_id string, store_id string, camera_id string, visitor_id string, event_type string, timestamp string, "
     "zone_id string, dwell_ms int, is_staff boolean, confidence double, metadata string"
 )
+BROKEN = "_broken"
 POS_SCHEMA = "tx_id string, amount double, timestamp string, pos_terminal_id string"
 LAYOUT_SCHEMA = (
     "stores array<struct<store_id:string,name:string,timezone:string,floor_plan:struct<width:int,height:int>,"
@@ -30,20 +32,64 @@ def with_event_defaults(raw: DataFrame) -> DataFrame:
     )
 
 
+def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(raw, event fields, unreadable) of a text column with one JSON object per row; blank rows are no records.
+
+    A row is unreadable if it is no JSON object or a field has another type than the schema says."""
+    shape = f"{EVENT_SCHEMA}, {BROKEN} string"
+    text = F.col(column)
+    event = F.from_json(text, shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    rows = lines.where(F.length(F.trim(text)) > 0).select(text.alias("raw"), event.alias("e"))
+    whole = F.json_object_keys("raw").isNotNull()  # an array or a bare value is no event
+    return rows.select("raw", "e.*", (F.col(f"e.{BROKEN}").isNotNull() | ~whole).alias("unreadable")).drop(BROKEN)
+
+
+def wire_problems() -> Column:
+    """Names of what is wrong with a parsed line, after defaults: unreadable, or the fields that break a rule."""
+    kind = F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False))
+    meta = F.col("metadata").isNull() | F.json_object_keys("metadata").isNotNull()
+    fields = F.concat(
+        field_errors(), F.array_compact(F.array(F.when(~kind, F.lit("event_type")), F.when(~meta, F.lit("metadata"))))
+    )
+    return F.when(F.col("unreadable"), F.array(F.lit("unreadable"))).otherwise(fields)
+
+
+def checked_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Parsed lines with ``problems``; every line that is not blank is one row, so none is lost."""
+    parsed = parse_lines(lines, column)
+    defaults = parsed.withColumn("confidence", F.coalesce("confidence", F.when(~F.col("unreadable"), F.lit(1.0))))
+    return defaults.withColumn("problems", wire_problems()).drop("unreadable")
+
+
+def good_events(checked: DataFrame) -> DataFrame:
+    return with_event_defaults(checked.where(F.size("problems") == 0))
+
+
+def quarantined(checked: DataFrame) -> DataFrame:
+    """(raw, problems) of the lines that were turned away."""
+    return checked.where(F.size("problems") > 0).select("raw", "problems")
+
+
 def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Events from a text column with one JSON object per row."""
-    parsed = lines.select(F.from_json(F.col(column), EVENT_SCHEMA).alias("e"))
-    return with_event_defaults(parsed.select("e.*"))
+    """Events from a text column with one JSON object per row; unreadable rows are left to ``quarantined``."""
+    return with_event_defaults(parse_lines(lines, column).where(~F.col("unreadable")))
+
+
+def read_event_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.text(list(paths))
+
+
+def stream_event_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
 def read_events_json(spark: SparkSession, *paths: str) -> DataFrame:
     """JSON lines of one or more feeds; several paths (one per camera, say) are read as one table."""
-    return with_event_defaults(spark.read.schema(EVENT_SCHEMA).json(list(paths)))
+    return parse_event_lines(read_event_lines(spark, *paths))
 
 
 def stream_events_json(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    raw = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return with_event_defaults(raw)
+    return parse_event_lines(stream_event_lines(spark, path, files_per_trigger))
 
 
 def read_pos_csv(spark: SparkSession, path: str, store_id: Column | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dwellgrid.config import AnomalyConfig
 from dwellgrid.operators import anomaly, rollups, sessions
 from dwellgrid.session import cut_lineage
+from dwellgrid.sources import readers
 from dwellgrid.sources.writers import overwrite_partitions
 from dwellgrid.streaming.jobs import batch_path
 
@@ -29,6 +30,16 @@ def _keep_newest(batch: DataFrame, root: str, batch_id: int) -> None:
     newest.write.mode("overwrite").parquet(batch_path(f"{root}/progress", batch_id))
 
 
+def wire_handler(root: str) -> Handler:
+    """Good events of each batch of lines go to ``root/events``, all others with their text to ``root/quarantine``."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        checked = cut_lineage(readers.checked_lines(batch))
+        readers.good_events(checked).write.mode("overwrite").parquet(batch_path(f"{root}/events", batch_id))
+        readers.quarantined(checked).write.mode("overwrite").parquet(batch_path(f"{root}/quarantine", batch_id))
+
+    return handle
+
+
 def _keep_unrepeated(touched: DataFrame, alerts: DataFrame, root: str, batch_id: int, cfg: AnomalyConfig) -> None:
     """Rewrites ``root/kept``, the alerts left by the suppression of repeats, from the first touched day on.
 
