@@ -1,10 +1,10 @@
-"""Registered queries: streaming forms, run over everything available. What the watermark leaves open at the end of the
-data is completed by the same operator in batch, over the newest days only."""
+"""Registered queries: streaming forms, run over everything available. The feeds end with a heartbeat, so that streams
+close their open windows themselves and results come from the sinks alone."""
 
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.scoring import seconds_between
-from dwellgrid.operators import identity, queueing
+from dwellgrid.operators import identity
 from dwellgrid.plans import binding as b
 from dwellgrid.plans import derived as d
 from dwellgrid.plans.anomaly_queries import ALERTS, ANOM, BASE, SIG, rec
@@ -16,12 +16,15 @@ from dwellgrid.plans.registry import query
 from dwellgrid.plans.source_queries import DAMAGE, damaged_lines, told_apart
 from dwellgrid.session import cut_lineage, scratch_path
 from dwellgrid.sources import readers, writers
-from dwellgrid.streaming import batches, flows, identities, queue
-from dwellgrid.streaming.jobs import DELAY, continue_job, rocksdb_state, run_available, run_batches, with_open_rest
+from dwellgrid.streaming import batches, flows, heartbeat, identities, queue
+from dwellgrid.streaming.jobs import DELAY, continue_job, rocksdb_state, run_available, run_batches
 
-def tail_start(spark, sf):
-    """Start of the day before the final watermark's: everything older is closed."""
-    return F.date_trunc("day", d.latest(spark, sf) - F.expr(f"interval {DELAY}")) - F.expr("interval 1 day")
+def closing_stream(spark, sf, delay=DELAY):
+    """The events table as a stream whose feeds end: a last heartbeat of each store closes what is open."""
+    path = scratch_path(spark, "heartbeats")
+    heartbeat.final_heartbeats(b.events(spark, sf)).write.parquet(path)
+    beats = spark.readStream.schema(heartbeat.BEAT_SCHEMA).parquet(path)
+    return heartbeat.on_feed_clock(heartbeat.with_heartbeats(b.events_stream(spark, sf), beats), delay)
 
 
 def interleaved(spark, sf, files=3):
@@ -45,10 +48,6 @@ def arriving(spark, sf, parts=4):
         yield b.bind_events(spark.readStream.schema(raw.schema).parquet(f"{path}/*"))
 
 
-def tail(spark, sf):
-    return b.events(spark, sf).where(F.col("ts") >= tail_start(spark, sf))
-
-
 @query("stream_ingest", with_ctes("SELECT event_id, store_id, event_type, ts FROM ev WHERE k <> 98", EV))
 def _(spark, sf):
     path = scratch_path(spark, "feed")
@@ -71,25 +70,16 @@ def _(spark, sf):
 @query("stream_hourly", with_ctes(f"""SELECT store_id, date_trunc('hour', ts) AS hour_bucket, count(DISTINCT session_name) AS active_sessions
   FROM ev WHERE NOT is_staff GROUP BY 1, 2""", EV))
 def _(spark, sf):
-    def flat(df):
-        return df.select("store_id", F.col("hour.start").alias("hour_bucket"), "active_sessions")
-
-    out = run_available(flows.hourly(b.events_stream(spark, sf)), "stream-hourly")
-    return with_open_rest(flat(out), flat(flows.hourly(tail(spark, sf))), ["store_id", "hour_bucket"])
+    out = run_available(flows.hourly(closing_stream(spark, sf), None), "stream-hourly")
+    return out.select("store_id", F.col("hour.start").alias("hour_bucket"), "active_sessions")
 
 
 @query("stream_daily", with_ctes(f"""SELECT store_id, event_date, CAST(sum(n) AS BIGINT) AS session_hours, max(n) AS busiest_hour FROM (
   SELECT store_id, event_date, date_trunc('hour', ts) AS h, count(DISTINCT session_name) AS n FROM ev WHERE NOT is_staff GROUP BY 1, 2, 3)
   GROUP BY 1, 2""", EV))
 def _(spark, sf):
-    def flat(df):
-        return df.select("store_id", F.to_date("day.start").alias("event_date"), "session_hours", "busiest_hour")
-
-    out = run_available(flows.daily(b.events_stream(spark, sf)), "stream-daily")
-    hours = flows.hourly(tail(spark, sf)).withColumn("day", F.window("hour.start", "1 day"))
-    rest = hours.groupBy("day", "store_id").agg(
-        F.sum("active_sessions").alias("session_hours"), F.max("active_sessions").alias("busiest_hour"))
-    return with_open_rest(flat(out), flat(rest), ["store_id", "event_date"])
+    out = run_available(flows.daily(closing_stream(spark, sf), None), "stream-daily")
+    return out.select("store_id", F.to_date("day.start").alias("event_date"), "session_hours", "busiest_hour")
 
 
 @query("stream_sessions", with_ctes(f"""SELECT store_id, visitor_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS events FROM (
@@ -97,25 +87,16 @@ def _(spark, sf):
     SELECT *, CASE WHEN gap IS NULL OR gap >= 1800 THEN 1 ELSE 0 END AS new FROM gaps))
   GROUP BY store_id, visitor_id, n""", EV, GAPS))
 def _(spark, sf):
-    def flat(df):
-        return df.select("store_id", "visitor_id", F.col("span.start").alias("start_ts"), "end_ts", "events")
-
-    out = run_available(flows.sessions(b.events_stream(spark, sf)), "stream-sessions")
-    # an open session may have begun at any time, but its visitor was seen lately
-    seen = tail(spark, sf).select("store_id", "visitor_id").distinct()
-    rest = flat(flows.sessions(b.events(spark, sf).join(seen, ["store_id", "visitor_id"], "left_semi")))
-    recent = rest.where(F.col("end_ts") >= tail_start(spark, sf))
-    return with_open_rest(flat(out), recent, ["store_id", "visitor_id", "start_ts"])
+    out = run_available(flows.sessions(closing_stream(spark, sf), delay=None), "stream-sessions")
+    return out.select("store_id", "visitor_id", F.col("span.start").alias("start_ts"), "end_ts", "events")
 
 
 @query("stream_queue", with_ctes("""SELECT store_id, visitor_id, event_id, leave_time AS ts FROM qi
   WHERE abandoned""", EV, GAPS, QUEUE))
 def _(spark, sf):
     with rocksdb_state(spark):
-        out = run_available(queue.queue_abandons(b.events_stream(spark, sf)), "stream-queue")
-    closed = out.select("store_id", "visitor_id", "event_id", F.timestamp_micros("abandon_us").alias("ts"))
-    rest = queueing.queue_abandons(queueing.queue_intervals(tail(spark, sf)))
-    return with_open_rest(closed, rest.select(*closed.columns), ["event_id"])
+        out = run_available(queue.queue_abandons(closing_stream(spark, sf, "10 minutes"), delay=None), "stream-queue")
+    return out.select("store_id", "visitor_id", "event_id", F.timestamp_micros("abandon_us").alias("ts"))
 
 
 SEEN = """seen AS (SELECT store_id, camera_id, user_id AS track_id, event_id AS tracklet_id, ts AS first_ts, ts AS last_ts,
@@ -177,26 +158,19 @@ def _(spark, sf):
   SELECT store_id, zone_id, ts, unnest(generate_series(0, 5)) AS i, time_bucket(INTERVAL 5 MINUTE, ts) - i * INTERVAL 5 MINUTE AS span_start
   FROM ev WHERE NOT is_staff AND event_type IN ('ZONE_ENTER', 'ZONE_DWELL')) GROUP BY 1, 2, 3""", EV))
 def _(spark, sf):
-    def flat(df):
-        return df.select("store_id", "zone_id", F.col("span.start").alias("span_start"), "visits")
-
-    out = run_available(flows.zone_activity(b.events_stream(spark, sf)), "stream-zones")
-    rest = flat(flows.zone_activity(tail(spark, sf))).where(F.col("span_start") >= tail_start(spark, sf))
-    return with_open_rest(flat(out), rest, ["store_id", "zone_id", "span_start"])
+    out = run_available(flows.zone_activity(closing_stream(spark, sf), None), "stream-zones")
+    return out.select("store_id", "zone_id", F.col("span.start").alias("span_start"), "visits")
 
 
 @query("stream_pos_link", with_ctes(f"""SELECT t.event_id AS tx_id, t.store_id, arg_max({uuid5_sql('e.session_name')}, (e.ts, {uuid5_sql('e.session_name')})) AS session_id, t.ts
   FROM ev t JOIN ev e ON e.store_id = t.store_id AND e.event_type = 'ENTRY' AND NOT e.is_staff AND e.ts <= t.ts AND t.ts <= e.ts + INTERVAL 300 SECOND
   WHERE t.event_type = 'PURCHASE' GROUP BY t.event_id, t.store_id, t.ts""", EV))
 def _(spark, sf):
-    def links(rows):
-        entries = rows.where((F.col("event_type") == "ENTRY") & ~F.col("is_staff")).select(
-            "store_id", "session_id", F.col("ts").alias("entry_ts"))
-        return flows.pos_links(entries, b.purchases_as_transactions(rows)).select("tx_id", "store_id", "session_id", "ts")
-
-    out = run_available(links(b.events_stream(spark, sf)), "stream-pos")
-    rest = links(tail(spark, sf)).where(F.col("ts") >= tail_start(spark, sf) + F.expr("interval 300 seconds"))
-    return with_open_rest(out, rest, ["tx_id"])
+    rows = closing_stream(spark, sf)
+    entries = rows.where((F.col("event_type") == "ENTRY") & ~F.col("is_staff")).select(
+        "store_id", "session_id", F.col("ts").alias("entry_ts"))
+    out = run_available(flows.pos_links(entries, b.purchases_as_transactions(rows), delay=None), "stream-pos")
+    return out.select("tx_id", "store_id", "session_id", "ts")
 
 
 SPLIT = "strftime((SELECT min(ts) FROM ev) + INTERVAL 15 DAY, '%Y-%m-%d')"

@@ -40,7 +40,9 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     text = F.col(column)
     event = F.from_json(text, shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
     rows = lines.where(F.length(F.trim(text)) > 0).select(text.alias("raw"), event.alias("e"))
-    whole = F.json_object_keys("raw").isNotNull()  # an array or a bare value is no event
+    # an array or a bare value is no event, and nothing may follow the object
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), "raw", F.lit("]"))) == 1, F.lit(False))
+    whole = F.json_object_keys("raw").isNotNull() & alone
     return rows.select("raw", "e.*", (F.col(f"e.{BROKEN}").isNotNull() | ~whole).alias("unreadable")).drop(BROKEN)
 
 

@@ -11,6 +11,11 @@ from dwellgrid.operators.quality import split_valid
 from dwellgrid.streaming.jobs import DELAY
 
 
+def timed(events: DataFrame, column: str, delay: str | None) -> DataFrame:
+    """Sets the watermark, unless the stream comes with one (``delay`` is None, see ``heartbeat``)."""
+    return events if delay is None else events.withWatermark(column, delay)
+
+
 def ingest(raw: DataFrame, delay: str = DELAY) -> DataFrame:
     """Valid typed events, each event id once."""
     typed = raw.withColumn("timestamp", F.col("ts").cast("string"))
@@ -25,16 +30,16 @@ def dedup_semantic(events: DataFrame, delay: str = DELAY) -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["visitor_id", "event_type", "_second"]).drop("_second")
 
 
-def hourly(events: DataFrame, delay: str = DELAY) -> DataFrame:
+def hourly(events: DataFrame, delay: str | None = DELAY) -> DataFrame:
     """Distinct customer sessions per store hour: sessions are made unique per hour, then counted."""
-    hours = not_staff(events).withWatermark("ts", delay).select(
+    hours = timed(not_staff(events), "ts", delay).select(
         "store_id", "session_id", F.window("ts", "1 hour").alias("hour")
     )
     unique = hours.dropDuplicates(["store_id", "session_id", "hour"])
     return unique.groupBy("hour", "store_id").agg(F.count("*").alias("active_sessions"))
 
 
-def daily(events: DataFrame, delay: str = DELAY) -> DataFrame:
+def daily(events: DataFrame, delay: str | None = DELAY) -> DataFrame:
     """Hourly counts rolled up to days in the same query."""
     by_hour = hourly(events, delay)
     day = F.window(F.window_time("hour"), "1 day")
@@ -43,10 +48,10 @@ def daily(events: DataFrame, delay: str = DELAY) -> DataFrame:
     )
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = DELAY) -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes", delay: str | None = DELAY) -> DataFrame:
     """Visitor sessions closed by inactivity."""
     window = F.session_window("ts", gap)
-    return events.withWatermark("ts", delay).groupBy(window.alias("span"), "store_id", "visitor_id").agg(
+    return timed(events, "ts", delay).groupBy(window.alias("span"), "store_id", "visitor_id").agg(
         F.count("*").alias("events"), F.max("ts").alias("end_ts")
     )
 
@@ -56,25 +61,25 @@ def freshness(events: DataFrame) -> DataFrame:
     return events.groupBy("store_id").agg(F.max("ts").alias("last_event_at"))
 
 
-def zone_activity(events: DataFrame, delay: str = DELAY) -> DataFrame:
+def zone_activity(events: DataFrame, delay: str | None = DELAY) -> DataFrame:
     """Customer visits per zone over sliding half hours; a zone absent from a window was dead in it."""
     seen = not_staff(events).where(F.col("event_type").isin("ZONE_ENTER", "ZONE_DWELL"))
-    return seen.withWatermark("ts", delay).groupBy(
+    return timed(seen, "ts", delay).groupBy(
         F.window("ts", "30 minutes", "5 minutes").alias("span"), "store_id", "zone_id"
     ).agg(F.count("*").alias("visits"))
 
 
-def pos_links(entries: DataFrame, transactions: DataFrame, window_seconds: int = 300, delay: str = DELAY) -> DataFrame:
+def pos_links(entries: DataFrame, transactions: DataFrame, window_seconds: int = 300, delay: str | None = DELAY) -> DataFrame:
     """Latest customer entry within the window before each transaction.
 
     Both streams meet on store and time bucket, so the join state of one store is spread over many
     partitions; the aggregation keeps one row per transaction."""
     bucket = F.floor(F.unix_seconds("entry_ts") / window_seconds)
     left = (
-        entries.withWatermark("entry_ts", delay)
+        timed(entries, "entry_ts", delay)
         .select("store_id", "session_id", "entry_ts", F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
     )
-    right = transactions.withWatermark("ts", delay).select(
+    right = timed(transactions, "ts", delay).select(
         F.col("store_id").alias("tx_store"), "tx_id", "ts", F.floor(F.unix_seconds("ts") / window_seconds).alias("tx_bucket")
     )
     near = (

@@ -55,11 +55,6 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], lab
     job.awaitTermination()
 
 
-def with_open_rest(sink: DataFrame, rest: DataFrame, keys: list[str]) -> DataFrame:
-    """What a stream has written, completed by the batch result for what its watermark has not closed yet."""
-    return sink.unionByName(rest.join(sink.select(*keys), keys, "left_anti").select(*sink.columns))
-
-
 def batch_path(root: str, batch_id: int) -> str:
     """Own folder per batch, so that a repeated batch overwrites its earlier attempt."""
     return f"{root}/batch={batch_id}"

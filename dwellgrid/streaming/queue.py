@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from dwellgrid.streaming.flows import timed
+
 OUT_SCHEMA = "store_id string, visitor_id string, event_id string, abandon_us long"
 
 
@@ -58,8 +60,8 @@ class AbandonProcessor(StatefulProcessor):
         pass
 
 
-def queue_abandons(events: DataFrame, limit_seconds: int = 120, delay: str = "10 minutes") -> DataFrame:
-    rows = events.withWatermark("ts", delay).selectExpr(
+def queue_abandons(events: DataFrame, limit_seconds: int = 120, delay: str | None = "10 minutes") -> DataFrame:
+    rows = timed(events, "ts", delay).selectExpr(
         "store_id", "visitor_id", "event_id", "event_type", "ts", "unix_micros(ts) AS us"
     )
     return rows.groupBy("store_id", "visitor_id").transformWithStateInPandas(
