@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.scoring import exact_avg, exact_sum
-from dwellgrid.operators.funnel import DAY, abandonment_visitors, conversion_rate, store_day_funnel
+from dwellgrid.operators.funnel import DAY, abandonment_visitors, conversion_rate, not_staff, store_day_funnel
 from dwellgrid.operators.sessions import session_dwell, session_fold
 
 HOUR = ["store_id", "hour_bucket"]
+SKETCH_BITS = 14
 QUEUE_EVENTS = ("BILLING_QUEUE_JOIN", "BILLING_QUEUE_ABANDON")
 
 
@@ -48,6 +49,38 @@ def hourly_sessions(sessions: DataFrame, as_of: Column, legacy_staff_count: bool
     )
 
 
+def visitor_sketches(events: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """One mergeable sketch of the distinct customers per store hour; the rows that a table keeps."""
+    return not_staff(events).groupBy("store_id", F.date_trunc("hour", "ts").alias("hour_bucket")).agg(
+        F.hll_sketch_agg("visitor_id", bits).alias("visitors"), F.count("*").alias("events")
+    )
+
+
+def distinct_visitors(sketches: DataFrame, *periods: Column) -> DataFrame:
+    """Distinct customers per store and period (a day, a week, or the store alone) from its hours' sketches.
+
+    Hours are merged, never added: who stays two hours counts once. The standard error is 1.04 / sqrt(2^bits); up to some
+    thousand visitors the sketches hold them all, and the count is exact."""
+    return sketches.groupBy("store_id", *periods).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("visitors")).alias("visitors"), F.sum("events").alias("events")
+    )
+
+
+def total_levels(events: DataFrame) -> DataFrame:
+    """Events, distinct customers and revenue per store hour, store day, store and chain, from one pass.
+
+    ``level`` is hour, day, store or chain; columns below the level are null."""
+    rows = not_staff(events).select(
+        "store_id", "event_date", F.hour("ts").alias("hour"), "visitor_id",
+        F.when(F.col("event_type") == "PURCHASE", F.col("value")).alias("amount"),
+    )
+    names = F.create_map(*(F.lit(x) for pair in ((0, "hour"), (1, "day"), (3, "store"), (7, "chain")) for x in pair))
+    return rows.rollup("store_id", "event_date", "hour").agg(
+        F.grouping_id().alias("g"), F.count("*").alias("events"), F.count_distinct("visitor_id").alias("visitors"),
+        F.coalesce(exact_sum(F.col("amount")), F.lit(0.0)).alias("revenue"),
+    ).withColumn("level", names[F.col("g").cast("int")]).drop("g")
+
+
 def hourly_queue(events: DataFrame) -> DataFrame:
     return (
         events.where(F.col("event_type").isin(*QUEUE_EVENTS))

@@ -8,6 +8,7 @@ from dwellgrid.plans import derived as d
 from dwellgrid.plans.binding import EV, TX, rnd, uuid5_sql, with_ctes
 from dwellgrid.plans.derived import DAILY, FSTAGES, HOURLY, HOURLY_PARTS, SESS, STAGES
 from dwellgrid.plans.registry import query
+from dwellgrid.session import cut_lineage
 
 
 @query("session_uuid5", with_ctes(f"SELECT event_id, {uuid5_sql('session_name')} AS session_id FROM ev", EV))
@@ -162,6 +163,31 @@ def _(spark, sf):
     return d.hourly_table(spark, sf).withColumn("zone_dwell", F.array_join(F.sort_array(text), ","))
 
 
+@query("distinct_visitors", with_ctes("""SELECT store_id, 'day' AS level, event_date AS period, count(DISTINCT visitor_id) AS visitors, count(*) AS events
+  FROM ev WHERE NOT is_staff GROUP BY 1, 3
+  UNION ALL SELECT store_id, 'week', strftime(date_trunc('week', ts), '%Y-%m-%d'), count(DISTINCT visitor_id), count(*) FROM ev WHERE NOT is_staff GROUP BY 1, 3
+  UNION ALL SELECT store_id, 'all', '', count(DISTINCT visitor_id), count(*) FROM ev WHERE NOT is_staff GROUP BY 1""", EV))
+def _(spark, sf):
+    hours = cut_lineage(rollups.visitor_sketches(b.events(spark, sf)))
+    out = None
+    for level, start in (("day", F.to_date("hour_bucket")), ("week", F.to_date(F.date_trunc("week", "hour_bucket"))), ("all", None)):
+        found = rollups.distinct_visitors(hours, *([] if start is None else [start.cast("string").alias("period")]))
+        if start is None:
+            found = found.withColumn("period", F.lit(""))
+        part = found.select("store_id", F.lit(level).alias("level"), "period", "visitors", "events")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("total_levels", with_ctes(f"""SELECT store_id, event_date, hour, count(*) AS events, count(DISTINCT visitor_id) AS visitors,
+  coalesce({b.xsum("CASE WHEN event_type = 'PURCHASE' THEN value END")}, 0) AS revenue,
+  CASE grouping(store_id, event_date, hour) WHEN 0 THEN 'hour' WHEN 1 THEN 'day' WHEN 3 THEN 'store' ELSE 'chain' END AS level
+  FROM (SELECT *, extract(hour FROM ts) AS hour FROM ev WHERE NOT is_staff) GROUP BY ROLLUP (store_id, event_date, hour)""", EV))
+def _(spark, sf):
+    out = rollups.total_levels(b.events(spark, sf))
+    return out.withColumn("event_date", F.col("event_date").cast("string")).withColumn("hour", F.col("hour").cast("long"))
+
+
 @query("daily_metrics", with_ctes("SELECT * FROM daily", EV, TX, SESS, HOURLY, DAILY))
 def _(spark, sf):
     return d.daily_table(spark, sf)

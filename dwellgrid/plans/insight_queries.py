@@ -87,14 +87,18 @@ def _(spark, sf):
 
 _intents = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN '{intent}'" for intent, words in QUESTION_KEYWORDS)
 QUEST = f"""qs AS (SELECT conv_id, turn, CASE {_intents} ELSE 'general' END AS intent, printf('STORE_%03d', conv_id % 4) AS store_id,
-  (SELECT max(event_date) FROM ev) AS event_date FROM conversations)"""
+  (SELECT strftime(min(ts) + to_days(CAST((conv_id // 4) % (date_diff('day', min(ts), max(ts)) + 1) AS INTEGER)), '%Y-%m-%d') FROM ev) AS event_date
+  FROM conversations)"""
 
 
 def questions(spark, sf):
-    newest = F.to_date(d.latest(spark, sf))
+    """Conversations spread over the stores and over all event days: each asks about a day of its own."""
+    ends = b.events(spark, sf).agg(F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"))
+    first, days = ends.select("first").scalar(), ends.select(F.date_diff("last", "first") + 1).scalar()
+    asked = F.date_add(first, F.pmod(F.floor(F.col("conv_id") / 4), days).cast("int"))
     return b.table(spark, sf, "conversations").select(
         "conv_id", "turn", evidence.question_intent(F.col("text")).alias("intent"),
-        F.format_string("STORE_%03d", F.col("conv_id") % 4).alias("store_id"), newest.alias("event_date"))
+        F.format_string("STORE_%03d", F.col("conv_id") % 4).alias("store_id"), asked.alias("event_date"))
 
 
 @query("question_intent", with_ctes("SELECT conv_id, turn, intent FROM qs", EV, QUEST))

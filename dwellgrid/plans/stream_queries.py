@@ -17,7 +17,7 @@ from dwellgrid.plans.source_queries import DAMAGE, damaged_lines, told_apart
 from dwellgrid.session import cut_lineage, scratch_path
 from dwellgrid.sources import readers, writers
 from dwellgrid.streaming import batches, flows, heartbeat, identities, queue
-from dwellgrid.streaming.jobs import DELAY, continue_job, rocksdb_state, run_available, run_batches
+from dwellgrid.streaming.jobs import DELAY, continue_job, rocksdb_state, run_available, run_batches, run_parts
 
 def closing_stream(spark, sf, delay=DELAY):
     """The events table as a stream whose feeds end: a last heartbeat of each store closes what is open."""
@@ -27,25 +27,32 @@ def closing_stream(spark, sf, delay=DELAY):
     return heartbeat.on_feed_clock(heartbeat.with_heartbeats(b.events_stream(spark, sf), beats), delay)
 
 
-def interleaved(spark, sf, files=3):
-    """The events in several files that all reach over the whole time, one per micro-batch: every hour is re-opened."""
-    path, raw = scratch_path(spark, "interleaved"), b.table(spark, sf, "events")
-    for i in range(files):
-        raw.where(F.pmod(F.xxhash64("event_id"), F.lit(files)) == i).coalesce(1).write.parquet(f"{path}/{i}")
-    return b.bind_events(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*"))
+def growing(spark, parts):
+    """A feed that grows by one folder at a time, each with the partitions of its rows: the stream after each."""
+    path = scratch_path(spark, "growing")
+    for i, rows in enumerate(parts):
+        rows.write.parquet(f"{path}/{i}")
+        yield spark.readStream.schema(rows.schema).parquet(f"{path}/*")
+
+
+def interleaved(spark, sf, parts=3):
+    """The events in several parts that all reach over the whole time: every hour is re-opened."""
+    raw = b.table(spark, sf, "events")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(parts))
+    for stream in growing(spark, (raw.where(part == i) for i in range(parts))):
+        yield b.bind_events(stream)
 
 
 def arriving(spark, sf, parts=4):
     """The events as a stream that grows: after each step the next stretch of time has arrived, in its own folder."""
-    path, raw = scratch_path(spark, "arriving"), b.table(spark, sf, "events")
+    raw = b.table(spark, sf, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     ends = raw.select(us.alias("us")).agg(
         F.percentile_approx("us", [i / parts for i in range(1, parts)], 1000).alias("cuts")).first().cuts or []
     edges = [None, *sorted(set(ends)), None]
-    for i, (low, high) in enumerate(zip(edges, edges[1:])):
-        inside = (F.lit(True) if low is None else us > low) & (F.lit(True) if high is None else us <= high)
-        raw.where(inside).write.parquet(f"{path}/{i}")
-        yield b.bind_events(spark.readStream.schema(raw.schema).parquet(f"{path}/*"))
+    inside = [(F.lit(True) if low is None else us > low) & (F.lit(True) if high is None else us <= high) for low, high in zip(edges, edges[1:])]
+    for stream in growing(spark, (raw.where(part) for part in inside)):
+        yield b.bind_events(stream)
 
 
 @query("stream_ingest", with_ctes("SELECT event_id, store_id, event_type, ts FROM ev WHERE k <> 98", EV))
@@ -126,7 +133,7 @@ def _(spark, sf):
 def _(spark, sf):
     root = scratch_path(spark, "stream-anomaly")
     handler = batches.anomaly_handler(root, b.purchases_as_transactions, zones=cut_lineage(b.zones(spark, sf)))
-    run_batches(interleaved(spark, sf), handler, "stream-anomaly-job")
+    run_parts(interleaved(spark, sf), handler, "stream-anomaly-job")
     return batches.current_alerts(spark, root).select("anomaly_id", "store_id", "anomaly_type", "detected_at", "z_score")
 
 
@@ -183,9 +190,6 @@ def _(spark, sf):
     ev = b.events(spark, sf).select("event_id", "store_id", "ts", "event_date", "k")
     split = F.date_add(ev.agg(F.to_date(F.min("ts"))).scalar(), 15)
     first = (F.col("event_date") < split) & (F.col("k") != 77)
-    ev.where(first).coalesce(1).write.parquet(f"{root}/feed/1")
-    ev.where(~first).coalesce(1).write.parquet(f"{root}/feed/2")
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed/*")
-    run_batches(stream, batches.late_handler(root), "stream-late-job")
+    run_parts(growing(spark, (ev.where(first), ev.where(~first))), batches.late_handler(root), "stream-late-job")
     late = spark.read.schema(ev.schema).parquet(f"{root}/late")
     return batches.repair_buckets(late)

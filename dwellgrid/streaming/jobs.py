@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +47,22 @@ def continue_job(stream: DataFrame, path: str, mode: str = "append") -> DataFram
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], label: str, mode: str = "append") -> None:
     """Processes everything available through ``handle(batch, batch_id)``; handlers must be idempotent per batch id."""
-    path = scratch_path(stream.sparkSession, label)
-    job = (
-        stream.writeStream.outputMode(mode).foreachBatch(handle)
-        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
+    run_parts([stream], handle, label, mode)
+
+
+def run_parts(
+    streams: Iterable[DataFrame], handle: Callable[[DataFrame, int], None], label: str, mode: str = "append"
+) -> None:
+    """The same over a feed that grows: each stream is the feed after its next part has arrived, and is taken up from the
+    checkpoint of the one before, so a part is one micro-batch however many files it has."""
+    path = None
+    for stream in streams:
+        path = path or scratch_path(stream.sparkSession, label)
+        job = (
+            stream.writeStream.outputMode(mode).foreachBatch(handle)
+            .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        )
+        job.awaitTermination()
 
 
 def batch_path(root: str, batch_id: int) -> str:

@@ -262,6 +262,26 @@ def test_identity_cases(spark):
     assert parents == {"t1": "t0", "t3": "t0"}
 
 
+def test_sketched_visitors_stay_within_their_error(spark):
+    hours = spark.range(200_000).select(
+        F.lit("S").alias("store_id"), (F.col("id") * 7919 % 60_000).cast("string").alias("visitor_id"), F.lit(False).alias("is_staff"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 24 * 3600).alias("ts"))
+    sketches = rollups.visitor_sketches(hours)
+    exact = hours.select("visitor_id").distinct().count()
+    got = rollups.distinct_visitors(sketches).first()
+    assert got.events == 200_000 and abs(got.visitors - exact) <= 4 * 1.04 / 2 ** 7 * exact
+    assert rollups.distinct_visitors(sketches, F.to_date("hour_bucket").alias("day")).count() == 1
+
+
+def test_total_levels_expand_once(spark):
+    rows = spark.createDataFrame([("S", "a", 1.5), ("S", "a", None), ("T", "b", 2.0)], "store_id string, visitor_id string, value double").select(
+        "*", F.lit("PURCHASE").alias("event_type"), F.lit(False).alias("is_staff"), F.lit(T0).alias("ts"), F.to_date(F.lit(T0)).alias("event_date"))
+    out = rollups.total_levels(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Expand") == 1
+    assert {(r.level, r.store_id): (r.events, r.visitors, r.revenue) for r in out.collect() if r.level in ("store", "chain")} == {
+        ("store", "S"): (2, 1, 1.5), ("store", "T"): (1, 1, 2.0), ("chain", None): (3, 2, 3.5)}
+
+
 def test_heatmap_and_kpis(spark):
     zones = spark.createDataFrame([("S", "Z1", "One", "DISPLAY"), ("S", "Z2", "Two", "AISLE"), ("S", "Z3", "Three", "AISLE")], "store_id string, zone_id string, zone_name string, zone_type string")
     ev = events(spark, [("a", "ZONE_ENTER", 0, {"zone": "Z1"}), ("a", "ZONE_DWELL", 2, {"zone": "Z1", "meta": '{"dwell_seconds": 100}'}),

@@ -12,7 +12,7 @@ from dwellgrid.plans import derived as d
 from dwellgrid.plans.stream_queries import interleaved
 from dwellgrid.session import scratch_path
 from dwellgrid.streaming import batches, flows, queue
-from dwellgrid.streaming.jobs import rocksdb_state, run_available, run_batches
+from dwellgrid.streaming.jobs import rocksdb_state, run_available, run_batches, run_parts
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -33,8 +33,8 @@ def feed(spark):
 @pytest.mark.parametrize("split", ["days", "interleaved"])
 def test_anomalies_over_batches(spark, feed, split):
     root = scratch_path(spark, "alerts")
-    stream = feed() if split == "days" else interleaved(spark, SF)
-    run_batches(stream, batches.anomaly_handler(root, b.purchases_as_transactions), "alerts-job")
+    parts = [feed()] if split == "days" else interleaved(spark, SF)
+    run_parts(parts, batches.anomaly_handler(root, b.purchases_as_transactions), "alerts-job")
     columns = ["anomaly_id", "store_id", "detected_at", "anomaly_type", "metric_value", "z_score"]
     got = sorted(map(tuple, batches.current_alerts(spark, root).select(columns).collect()))
     want = anomaly.alerts(anomaly.scored_signals(d.hourly_table(spark, SF))).select(columns)
@@ -51,8 +51,8 @@ def test_suppressed_alerts_and_dead_zones_over_batches(spark, feed, split):
         plain(batch, batch_id)
         plain(batch, batch_id)
 
-    streams = {"one": lambda: b.events_stream(spark, SF), "days": feed, "interleaved": lambda: interleaved(spark, SF)}
-    run_batches(streams[split](), handle, "kept-job")
+    parts = {"one": lambda: [b.events_stream(spark, SF)], "days": lambda: [feed()], "interleaved": lambda: interleaved(spark, SF)}
+    run_parts(parts[split](), handle, "kept-job")
     columns = ["anomaly_id", "store_id", "detected_at", "anomaly_type", "metric_value", "z_score", "affected_zone_id"]
     got = batches.current_anomalies(spark, root).select(columns).collect()
     assert sorted(tuple(r) for r in got if r.anomaly_type != "DEAD_ZONE") == sorted(
@@ -81,7 +81,7 @@ def test_interleaved_feed_keeps_rows_of_odd_ids(spark, tmp_path):
     odd = raw.withColumn("event_id", F.when(F.col("event_id") % 3 == 0, -F.col("event_id")).when(F.col("event_id") % 3 == 1, F.col("event_id")))
     odd.write.parquet(f"{tmp_path}/events.parquet")
     sizes = {}
-    run_batches(interleaved(spark, str(tmp_path)), lambda batch, i: sizes.update({i: batch.count()}), "odd-job")
+    run_parts(interleaved(spark, str(tmp_path)), lambda batch, i: sizes.update({i: batch.count()}), "odd-job")
     assert sum(sizes.values()) == 60 and len(sizes) == 3
 
 
