@@ -3,9 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dwellgrid.config import ReidConfig
 from dwellgrid.functions.hashing import session_key
 from dwellgrid.functions.scoring import seconds_between
 from dwellgrid.operators.ordered import OrderedRows
+from dwellgrid.operators.trajectory import reentry_flag
 
 
 def with_session_id(events: DataFrame, seq: Column | None = None) -> DataFrame:
@@ -14,6 +16,16 @@ def with_session_id(events: DataFrame, seq: Column | None = None) -> DataFrame:
     return events.withColumn("session_id", session_key(F.col("visitor_id"), F.col("store_id"), F.to_date("ts"), seq))
 
 
+def with_visit_sessions(events: DataFrame, cfg: ReidConfig = ReidConfig()) -> DataFrame:
+    """Session ids by visit: a re-entry (back after the cooldown, within the window) opens a session of its own.
+
+    ``visit_no`` counts a visitor's re-entries in a store; one shuffle by visitor carries the whole events."""
+    rows = OrderedRows.of(events, ["store_id", "visitor_id"], ["ts", "event_id"]).lag({"prev_ts": "ts"})
+    numbered = rows.running_sum("visit_no", F.when(reentry_flag(cfg), 1).otherwise(0)).result().drop("prev_ts")
+    numbered = numbered.withColumn("visit_no", F.col("visit_no").cast("long"))
+    return with_session_id(numbered, F.col("visit_no"))
+
+
 def session_fold(events: DataFrame) -> DataFrame:
     """One row per session. Zones are folded per (session, zone) first, so the array holds distinct zones only."""
     per_zone = events.groupBy("session_id", "store_id", "visitor_id", "zone_id").agg(

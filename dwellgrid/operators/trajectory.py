@@ -26,14 +26,14 @@ def entry_events(sightings: DataFrame) -> DataFrame:
     return first.select(*VISITOR, F.lit("ENTRY").alias("event_type"), "s.ts", "s.event_id", "s.camera_id")
 
 
-def _reentry_flag(cfg: ReidConfig) -> Column:
+def reentry_flag(cfg: ReidConfig) -> Column:
     gap = seconds_between(F.col("ts"), F.col("prev_ts"))
     return F.coalesce(gap.between(cfg.reentry_min_seconds, cfg.window_seconds), F.lit(False))
 
 
 def reentry_events(sightings: DataFrame, cfg: ReidConfig = ReidConfig()) -> DataFrame:
     rows = _visitor_rows(sightings).lag({"prev_ts": "ts"}).result()
-    return rows.where(_reentry_flag(cfg)).select(
+    return rows.where(reentry_flag(cfg)).select(
         *VISITOR, F.lit("REENTRY").alias("event_type"), "ts", "event_id",
         seconds_between(F.col("ts"), F.col("prev_ts")).alias("gap_seconds"),
     )
@@ -42,7 +42,7 @@ def reentry_events(sightings: DataFrame, cfg: ReidConfig = ReidConfig()) -> Data
 def session_sequence(sightings: DataFrame, cfg: ReidConfig = ReidConfig()) -> DataFrame:
     """Visit number (0 first) and 1-based event number within the visit."""
     rows = _visitor_rows(sightings).lag({"prev_ts": "ts"})
-    again = _reentry_flag(cfg)
+    again = reentry_flag(cfg)
     rows = rows.running_sum("visit_no", F.when(again, 1).otherwise(0)).row_number("n")
     starts = F.when(again | F.col("prev_ts").isNull(), F.col("n"))
     rows = rows.last_value("start_n", starts)

@@ -28,6 +28,22 @@ def _(spark, sf):
     return s.withColumn("zones_visited", F.array_join("zones_visited", ","))
 
 
+VISITS = f"""vz AS (SELECT *, visitor_id || ':' || store_id || ':' || event_date || ':' || visit_no AS visit_name FROM (
+  SELECT *, CAST(sum(CASE WHEN gap BETWEEN 300000000 AND 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY store_id, visitor_id
+    ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS visit_no FROM (
+    SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY store_id, visitor_id ORDER BY ts, event_id)) AS gap FROM ev)))"""
+
+
+@query("visit_sessions", with_ctes(f"""SELECT {uuid5_sql('visit_name')} AS session_id, store_id, visitor_id, visit_no, min(ts) AS entry_time,
+  max(ts) FILTER (event_type = 'EXIT') AS exit_time, bool_or(event_type = 'PURCHASE') AS is_converted, count(*) AS events
+  FROM vz GROUP BY visit_name, store_id, visitor_id, event_date, visit_no""", EV, VISITS))
+def _(spark, sf):
+    ev = sessions.with_visit_sessions(b.events(spark, sf))
+    visits = ev.groupBy("session_id").agg(F.min("visit_no").alias("visit_no"), F.count("*").alias("events"))
+    return sessions.session_fold(ev).join(visits, "session_id").select(
+        "session_id", "store_id", "visitor_id", "visit_no", "entry_time", "exit_time", "is_converted", "events")
+
+
 @query("session_dwell", with_ctes(
     f"SELECT {uuid5_sql('session_name')} AS session_id, store_id, effective_dwell FROM sessd", EV, SESS))
 def _(spark, sf):

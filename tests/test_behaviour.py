@@ -262,6 +262,20 @@ def test_identity_cases(spark):
     assert parents == {"t1": "t0", "t3": "t0"}
 
 
+def test_reentry_opens_a_session(spark):
+    at = [0, 3, 10, 39, 69, 100, 1450]  # minutes: 3 and 100 are no re-entry, 1450 is another day
+    ev = events(spark, [("v", "ENTRY" if m == 0 else "EXIT" if m == 3 else "ZONE_ENTER", m) for m in at] + [("w", "ENTRY", 10)])
+    told = sessions.with_visit_sessions(ev)
+    visits = {(r.visitor_id, r.ts): (r.visit_no, r.session_id) for r in told.collect()}
+    mine = [visits["v", T0 + timedelta(minutes=m)] for m in at]
+    assert [n for n, _ in mine] == [0, 0, 1, 2, 3, 3, 3]
+    ids = [i for _, i in mine]
+    assert ids[0] == ids[1] and ids[4] == ids[5] and len(set(ids)) == 5
+    assert ids[0] == sessions.with_session_id(ev).where("visitor_id = 'v'").orderBy("ts").first().session_id
+    folded = {r.session_id: r for r in sessions.session_fold(told).collect()}
+    assert len(folded) == 6 and folded[ids[0]].exit_time is not None and folded[ids[2]].exit_time is None
+
+
 def test_sketched_visitors_stay_within_their_error(spark):
     hours = spark.range(200_000).select(
         F.lit("S").alias("store_id"), (F.col("id") * 7919 % 60_000).cast("string").alias("visitor_id"), F.lit(False).alias("is_staff"),
