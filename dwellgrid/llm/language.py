@@ -133,19 +133,24 @@ def fit_languages(
 ) -> ByteConvNet | None:
     """The network trained on the bounded sample, None if there is nothing to learn."""
     may_learn, _ = learnable_part(id_col)
-    rows = docs.where(may_learn & F.col(lang_col).isNotNull())
-    draw = F.md5(F.col(id_col).cast("string"))
-    order = Window.partitionBy("s_lang").orderBy("s_draw", "s_id")
-    sample = (
-        rows.select(F.col(id_col).alias("s_id"), F.col(lang_col).alias("s_lang"), draw.alias("s_draw"))
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-        .orderBy("place", "s_draw", "s_id").limit(total).select("s_id").distinct()
+    rows = docs.where(may_learn & F.col(lang_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
+        F.md5(F.col(id_col).cast("string")).alias("draw"),
     )
-    text = F.col(text_col)
-    start = F.pmod(F.xxhash64(draw), F.greatest(F.length(text) - WINDOW + 1, F.lit(1))) + 1
+    # the first of a language are among the first of their bucket, so no task ranks a whole language
+    bucket = F.substring("draw", -2, 2)
+    sample = rows.select(
+        F.col("id").alias("s_id"), F.col("lang").alias("s_lang"), F.col("draw").alias("s_draw"), bucket.alias("bucket")
+    ).distinct()  # rows that repeat an id are drawn together
+    for keys in (["s_lang", "bucket"], ["s_lang"]):
+        order = Window.partitionBy(*keys).orderBy("s_draw", "s_id")
+        sample = sample.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    sample = sample.orderBy("place", "s_draw", "s_id").limit(total).select("s_id").distinct()
+    text = F.col("text")
+    start = F.pmod(F.xxhash64("draw"), F.greatest(F.length(text) - WINDOW + 1, F.lit(1))) + 1
     picked = (
-        rows.where(F.length(text) > 0).join(F.broadcast(sample), F.col(id_col) == F.col("s_id"))  # at most ``total`` ids
-        .select(F.col(lang_col).alias("lang"), draw.alias("draw"), text.substr(start.cast("int"), F.lit(WINDOW)).alias("part"))
+        rows.where(F.length(text) > 0).join(F.broadcast(sample), F.col("id") == F.col("s_id"))  # at most ``total`` ids
+        .select("lang", "draw", text.substr(start.cast("int"), F.lit(WINDOW)).alias("part"))
         .orderBy("draw", "lang", "part").limit(total).toArrow()
     )
     labels = picked.column("lang").to_pylist()

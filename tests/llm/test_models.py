@@ -130,3 +130,15 @@ def test_table_lookup_equals_convolution():
         hidden.append(out.max(axis=1))
     want = language.softmax(np.maximum(np.concatenate(hidden, axis=1) + net.bias, 0) @ net.dense + net.shift)
     assert np.allclose(net.predict(rows, net.tables()), want, atol=1e-5)
+
+
+def test_columns_with_the_names_used_inside(spark, tables):
+    docs, labels = tables
+    names = ["id", "s_id", "s_lang", "s_draw", "draw", "bucket", "place", "part", "label", "row", "held_out", "score", "vector"]
+    wide = docs.select("*", *(F.lit(7).alias(n) for n in names))
+    net, plain_net = language.fit_languages(wide), language.fit_languages(docs)
+    want = sorted(map(tuple, language.predict_languages(docs, plain_net).collect()))
+    assert sorted(map(tuple, language.predict_languages(wide, net).collect())) == want
+    wide_labels = labels.select("*", *(F.lit(7).alias(n) for n in names))
+    want = sorted(map(tuple, quality.score_documents(docs, quality.fit_quality(docs, labels)).collect()))
+    assert sorted(map(tuple, quality.score_documents(wide, quality.fit_quality(wide, wide_labels)).collect())) == want
