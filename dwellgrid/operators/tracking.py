@@ -12,6 +12,8 @@ The fold runs per camera in chunks that are reconciled at their borders (see ``s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from dwellgrid.operators.speculation import fold_in_rounds, in_chunks
 
 CAMERA = ["store_id", "camera_id"]
 CHUNK_ROWS = 4000
+MEMORIES = 16  # a chunk lasts at least this many times as long as a track is remembered
 TRACK = "struct<root:string,hits:long,last:long,matched:long,box:array<double>>"
 TRACKED = "frame_idx long, turn long, detection_id string, root string, how string, iou double"
 
@@ -96,17 +99,22 @@ def track_detections(detections: DataFrame, cfg: DetectionConfig = DetectionConf
         F.when(whole, F.array(*corners)).alias("box"),
     )
 
-    def fold(ordered: list[dict], state: list[dict]) -> tuple[list[tuple], list[dict]]:
-        tracks, frame, out = LiveTracks(cfg, state), None, []
-        for turn, row in enumerate(ordered):
+    def fold(state: list[dict]) -> tuple[Callable[[dict], tuple], Callable[[], list[dict]]]:
+        tracks, frame, turn = LiveTracks(cfg, state), None, -1
+
+        def place(row: dict) -> tuple:
+            nonlocal frame, turn
             if row["frame_idx"] != frame:
                 frame = row["frame_idx"]
                 tracks.start_frame(frame)
-            out.append((frame, turn, row["detection_id"], *tracks.place(row)))
-        return out, tracks.states()
+            turn += 1
+            return (frame, turn, row["detection_id"], *tracks.place(row))
+
+        return place, tracks.states
 
+    memory = cfg.max_lost_frames + 2
     placed = fold_in_rounds(
-        in_chunks(rows, CAMERA, "frame_idx", cfg.max_lost_frames + 2, chunk_rows or CHUNK_ROWS),
+        in_chunks(rows, CAMERA, "frame_idx", memory if chunk_rows else MEMORIES * memory, chunk_rows or CHUNK_ROWS),
         CAMERA, ["frame_idx", "turn_by", "detection_id"], fold, TRACKED, TRACK, "frame_idx",
         lambda track, begin: begin - 1 - track["last"] <= cfg.max_lost_frames,
     )
