@@ -58,6 +58,11 @@ class OrderedRows:
 
     def _carry(self, per_chunk: DataFrame, name: str, value: Column, forward: bool = True) -> DataFrame:
         """Join ``name``: ``value`` over the chunks of the key before (or after) the current one."""
+        carry, cond = self._carried(per_chunk, name, value, forward)
+        return self.df.join(carry, cond, "left").select(*self.df.columns, name)
+
+    def _carried(self, per_chunk: DataFrame, name: str, value: Column, forward: bool) -> tuple[DataFrame, Column]:
+        """``value`` over the chunks before (or after) each chunk as ``name``, and the condition that joins it to rows."""
         step = F.asc(CHUNK) if forward else F.desc(CHUNK)
         w = Window.partitionBy(*self.keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
         renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(self._groups)]
@@ -65,7 +70,7 @@ class OrderedRows:
         cond = F.lit(True)
         for i, k in enumerate(self._groups):
             cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        return self.df.join(carry, cond, "left").select(*self.df.columns, name)
+        return carry, cond
 
     def running_sum(self, name: str, value: Column) -> "OrderedRows":
         """Inclusive running total."""
@@ -133,9 +138,14 @@ class OrderedRows:
             return self._with(self.df.select(*keep, *[shift(src).over(w).alias(new) for new, src in columns.items()]))
         pick = F.max_by if forward else F.min_by
         edge = self.df.groupBy(*self._groups).agg(pick(packed, F.struct(*self.order)).alias("_t"))
-        joined = self._carry(edge, "_c", F.last("_t"), forward)
-        base = joined.withColumn("_p", packed).withColumn("_s", F.coalesce(shift("_p").over(w), F.col("_c")))
-        return self._with(base.select(*keep, *[F.col(f"_s.{new}").alias(new) for new in columns]))
+        # only the first row of a chunk takes the carry, so it is joined behind the shuffle of the rows
+        carry, cond = self._carried(edge, "_c", F.last("_t"), forward)
+        first = shift(F.lit(True)).over(w).isNull()
+        local = self.df.select(*keep, first.alias("_first"), *[shift(src).over(w).alias(f"_s_{new}") for new, src in columns.items()])
+        joined = local.join(F.broadcast(carry), cond & F.col("_first"), "left")
+        return self._with(joined.select(*keep, *[
+            F.when(F.col("_first"), F.col(f"_c.{new}")).otherwise(F.col(f"_s_{new}")).alias(new) for new in columns
+        ]))
 
     def where(self, condition: Column) -> "OrderedRows":
         return self._with(self.df.where(condition))

@@ -44,3 +44,13 @@ def test_plain_values(spark):
     assert [r[3:] for r in rows] == [
         (5, 1, 5, 5, 5, -99, -99, -99, 2), (5, 2, 5, 5, 2, 5, 1, 2, 3), (7, 3, 5, 2, 2, -99, 2, -99, -99)
     ]
+
+
+def test_rows_are_shuffled_without_the_carry(tiny_groups):
+    """Only the first row of a chunk needs the carry; it is joined above the window, not sent through its shuffle."""
+    rows = tiny_groups.createDataFrame([("k", i, float(i)) for i in range(40)], "key string, i int, v double")
+    shifted = OrderedRows.of(rows, ["key"], ["i"]).lag({"p": "v"})
+    assert shifted.chunked
+    plan = shifted.result()._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
+    assert {r.i: r.p for r in shifted.result().collect()} == {i: float(i - 1) if i else None for i in range(40)}
