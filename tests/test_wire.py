@@ -4,6 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from dwellgrid.plans import load_registry
+from dwellgrid.plans.source_queries import damaged_lines
 from dwellgrid.session import scratch_path
 from dwellgrid.sources import readers
 from dwellgrid.streaming import batches, flows, heartbeat
@@ -76,3 +78,14 @@ def test_heartbeats_close_windows_and_are_never_counted(spark):
     assert hours(run_available(flows.hourly(stream_of(spark, paused), None), "beats-pause")) == [("S", 0, 2), ("S", 1, 1), ("T", 1, 1)]
     end = paused + [[("S", None, 20 * h, True)]]
     assert hours(run_available(flows.hourly(stream_of(spark, end), None), "beats-more")) == [("S", 0, 2), ("S", 1, 1), ("S", 3, 1), ("T", 1, 1)]
+
+
+def test_a_table_in_one_file_becomes_lines_in_many_tasks(spark, tmp_path):
+    rows = [(i, f"2024-05-01 10:00:{i % 60:02d}", i % 9, "view", 1.5, json.dumps({"k": i % 100})) for i in range(200)]
+    shape = "event_id long, ts string, user_id long, event_type string, value double, props string"
+    table = spark.createDataFrame(rows, shape).withColumn("ts", F.col("ts").cast("timestamp"))
+    table.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out = load_registry()[0]["wire_quarantine"](spark, str(tmp_path))
+    bad = {89: "metadata", 91: "unreadable", 92: "unreadable", 93: "unreadable", 94: "store_id", 95: "confidence", 96: "event_type", 97: "timestamp"}
+    assert {r.event_id: r.problems for r in out.collect()} == {str(i): bad.get(i % 100, "") for i in range(200)}
+    assert damaged_lines(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
