@@ -13,6 +13,7 @@ The fold runs per camera in chunks that are reconciled at their borders (see ``s
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count, groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,9 @@ from dwellgrid.operators.ordered import OrderedRows
 from dwellgrid.operators.speculation import fold_in_rounds, in_chunks
 
 CAMERA = ["store_id", "camera_id"]
-CHUNK_ROWS = 4000
+CHUNK_ROWS = 200_000
 MEMORIES = 16  # a chunk lasts at least this many times as long as a track is remembered
+_NO_BOX = [np.nan] * 4
 TRACK = "struct<root:string,hits:long,last:long,matched:long,box:array<double>>"
 TRACKED = "frame_idx long, turn long, detection_id string, root string, how string, iou double"
 
@@ -46,41 +48,62 @@ class LiveTracks:
             self.roots = [r for r, kept in zip(self.roots, live.tolist()) if kept]
             self.hits, self.last, self.matched, self.boxes = (x[live] for x in (self.hits, self.last, self.matched, self.boxes))
 
-    def overlaps(self, box: list[float]) -> np.ndarray:
-        x1, y1, x2, y2 = box
-        b = self.boxes
-        width = np.minimum(x2, b[:, 2]) - np.maximum(x1, b[:, 0])
-        height = np.minimum(y2, b[:, 3]) - np.maximum(y1, b[:, 1])
-        inter = np.maximum(0, width) * np.maximum(0, height)
-        union = (x2 - x1) * (y2 - y1) + (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) - inter
-        return np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
-
-    def place(self, row: dict) -> tuple[str | None, str, float | None]:
-        """(track, how, overlap) of the next detection of the current frame."""
-        frame, box, sure = row["frame_idx"], row["box"], row["sure"]
-        if box is not None and self.roots:
-            free = self.matched != frame
-            if not sure:
-                free &= (self.hits >= self.cfg.min_hits) & (frame - 1 > self.last)  # lost
-            iou = np.where(free, self.overlaps(box), 0.0)
-            at = int(iou.argmax())  # the first of equals is the oldest
-            if iou[at] > 0 and iou[at] >= self.cfg.iou_threshold:
-                self.hits[at] += 1
-                self.last[at] = self.matched[at] = frame
-                self.boxes[at] = box
-                return self.roots[at], "matched", float(iou[at])
-        if not sure or box is None:
-            return None, "discarded", None
-        self.roots.append(row["detection_id"])
-        self.hits, self.last, self.matched = (np.append(x, v) for x, v in ((self.hits, 1), (self.last, frame), (self.matched, -1)))
-        self.boxes = np.concatenate((self.boxes, [box]))
-        return row["detection_id"], "opened", None
+    def place_all(self, frame: int, rows: list[dict]) -> list[tuple[str | None, str, float | None]]:
+        """(track, how, overlap) of the next detections of one frame, which may come in several pieces. A track has one
+        detection in a frame, so no box that is still free moves within it and all overlaps are known at its start; behind
+        the tracks come the detections, each of which may open one."""
+        n, size = len(self.roots), len(rows)
+        boxes = np.array([_NO_BOX if row["box"] is None else row["box"] for row in rows], float).reshape(-1, 4)
+        iou = np.zeros((size, n + size))
+        iou[:, :n] = _overlaps(boxes, self.boxes)
+        iou[:, :n][:, self.matched == frame] = 0
+        unsure = np.array([not row["sure"] for row in rows])
+        lost = (self.hits >= self.cfg.min_hits) & (frame - 1 > self.last)
+        iou[:, :n] *= lost | ~unsure[:, None]
+        own = _overlaps(boxes, boxes) if size > 1 else None
+        out, opened, taken, again = [], [], [], []  # places of detections that open tracks, of tracks and their detections
+        for i, row in enumerate(rows):
+            width = n + len(opened)
+            at = int(iou[i, :width].argmax()) if width else 0  # the first of equals is the oldest
+            reached = float(iou[i, at]) if width else 0.0
+            if row["box"] is not None and reached > 0 and reached >= self.cfg.iou_threshold:
+                iou[i:, at] = 0
+                taken.append(at)
+                again.append(i)
+                out.append((self.roots[at], "matched", reached))
+            elif not row["sure"] or row["box"] is None:
+                out.append((None, "discarded", None))
+            else:
+                if own is not None:  # the others may take it, if they are sure: it is not lost
+                    iou[:, width] = np.where(unsure, 0.0, own[:, i])
+                opened.append(i)
+                self.roots.append(row["detection_id"])
+                out.append((row["detection_id"], "opened", None))
+        if opened:
+            more = len(opened)
+            self.hits, self.last, self.matched = (
+                np.concatenate((x, np.full(more, v))) for x, v in ((self.hits, 1), (self.last, frame), (self.matched, -1)))
+            self.boxes = np.concatenate((self.boxes, boxes[opened]))
+        if taken:
+            self.hits[taken] += 1
+            self.last[taken] = self.matched[taken] = frame
+            self.boxes[taken] = boxes[again]
+        return out
 
     def states(self) -> list[dict]:
         columns = (self.roots, self.hits.tolist(), self.last.tolist(), self.matched.tolist(), self.boxes.tolist())
         return [dict(zip(("root", "hits", "last", "matched", "box"), values)) for values in zip(*columns)]
 
 
+def _overlaps(boxes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Overlap of each box with each other one; a missing box overlaps with none."""
+    x1, y1, x2, y2 = (boxes[:, i, None] for i in range(4))
+    u1, v1, u2, v2 = others.T
+    inter = np.maximum(0, np.minimum(x2, u2) - np.maximum(x1, u1)) * np.maximum(0, np.minimum(y2, v2) - np.maximum(y1, v1))
+    union = (x2 - x1) * (y2 - y1) + (u2 - u1) * (v2 - v1) - inter
+    return np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
+
+
 def track_detections(detections: DataFrame, cfg: DetectionConfig = DetectionConfig(), chunk_rows: int | None = None) -> DataFrame:
     """(store_id, camera_id, frame_idx, detection_id, track_id, how, iou): the track of each detection.
 
@@ -99,16 +122,17 @@ def track_detections(detections: DataFrame, cfg: DetectionConfig = DetectionConf
         F.when(whole, F.array(*corners)).alias("box"),
     )
 
-    def fold(state: list[dict]) -> tuple[Callable[[dict], tuple], Callable[[], list[dict]]]:
-        tracks, frame, turn = LiveTracks(cfg, state), None, -1
+    def fold(state: list[dict]) -> tuple[Callable[[list[dict]], list[tuple]], Callable[[], list[dict]]]:
+        tracks, turns = LiveTracks(cfg, state), count()
 
-        def place(row: dict) -> tuple:
-            nonlocal frame, turn
-            if row["frame_idx"] != frame:
-                frame = row["frame_idx"]
+        def place(rows: list[dict]) -> list[tuple]:
+            out = []
+            for frame, found in groupby(rows, key=lambda row: row["frame_idx"]):
+                frame_rows = list(found)
                 tracks.start_frame(frame)
-            turn += 1
-            return (frame, turn, row["detection_id"], *tracks.place(row))
+                for row, placed in zip(frame_rows, tracks.place_all(frame, frame_rows)):
+                    out.append((frame, next(turns), row["detection_id"], *placed))
+            return out
 
         return place, tracks.states
 
@@ -116,7 +140,7 @@ def track_detections(detections: DataFrame, cfg: DetectionConfig = DetectionConf
     placed = fold_in_rounds(
         in_chunks(rows, CAMERA, "frame_idx", memory if chunk_rows else MEMORIES * memory, chunk_rows or CHUNK_ROWS),
         CAMERA, ["frame_idx", "turn_by", "detection_id"], fold, TRACKED, TRACK, "frame_idx",
-        lambda track, begin: begin - 1 - track["last"] <= cfg.max_lost_frames,
+        lambda track, begin: begin - 1 - track["last"] <= cfg.max_lost_frames, many=True,
     )
     return _numbered(placed)
 

@@ -40,3 +40,18 @@ def test_a_chain_through_all_chunks_takes_few_rounds(spark, monkeypatch, per_slo
     want = {(r.key, r.at): r.s for r in numbered.selectExpr("key", "at", "sum(value) over (partition by key order by at, value) s").collect()}
     assert {(r.key, r.at): r.total for r in out.collect()} == want
     assert len([c for c in staged if "moved" in c]) <= 8  # comparisons of starts, one a round
+
+
+def test_a_fold_of_many_rows_takes_chunks_as_lists(spark):
+    """A fold of lists of rows gives what single rows give."""
+    def totals(state):
+        take, end = running_total(state)
+        return lambda found: [take(row) for row in found], end
+
+    rows = spark.range(4000).select((F.col("id") % 2).alias("key"), F.floor(F.col("id") / 2).alias("at"), (F.col("id") % 7).alias("value"))
+    for chunk_rows in (1, 700):
+        out = speculation.fold_in_rounds(
+            speculation.in_chunks(rows, KEYS, "at", 100, chunk_rows), KEYS, ["at", "value"], totals,
+            "at long, total long", STATE, "at", lambda entry, time: F.lit(True), many=True)
+        want = {(r.key, r.at): r.s for r in rows.selectExpr("key", "at", "sum(value) over (partition by key order by at, value) s").collect()}
+        assert {(r.key, r.at): r.total for r in out.collect()} == want

@@ -123,3 +123,20 @@ def test_odd_detections(spark):
     assert found["g"][1] == "opened" and found["i"] == (3, "matched", 1.0)  # the track that the same frame has just opened
     assert tracking.track_detections(spark.createDataFrame([], SHAPE)).count() == 0
     assert DetectionConfig().max_lost_frames == 90
+
+
+@pytest.mark.parametrize("piece", [1, 2, 5, 100])
+def test_frames_in_pieces_give_the_walk(piece):
+    """All detections of a frame are compared at once; a frame may be cut between two batches."""
+    rows = [r for r in people(3, frames=400) if r[1] == "C0"]
+    want, _ = walk(rows)
+    tracks, found, numbers = tracking.LiveTracks(DetectionConfig(), []), {}, {}
+    for frame in sorted({r[2] for r in rows}):
+        turns = sorted((r for r in rows if r[2] == frame), key=lambda r: (-r[5] if (r[5] or 0) >= 0.6 else float("inf"), r[3]))
+        for begin in range(0, len(turns), piece):
+            tracks.start_frame(frame)
+            now = [dict(frame_idx=frame, detection_id=r[3], sure=(r[5] or 0) >= 0.6, box=r[4]) for r in turns[begin:begin + piece]]
+            for row, (root, how, iou) in zip(now, tracks.place_all(frame, now)):
+                track = None if root is None else numbers.setdefault(root, len(numbers) + 1)
+                found[row["detection_id"]] = (track, how, None if iou is None else round(iou, 9))
+    assert found == want
